@@ -24,14 +24,27 @@ def _scores(tp: Column, fp: Column, fn: Column, tn: Column, digits: int | None =
 
 
 def confusion(
-    df: DataFrame, truth: Column, predicted: Column, by: Sequence[str] = (), digits: int | None = 4
+    df: DataFrame,
+    truth: Column,
+    predicted: Column,
+    by: Sequence[str] = (),
+    digits: int | None = 4,
+    weight: Column | None = None,
 ) -> DataFrame:
-    """tp, fp, fn, tn and the scores. ``truth`` and ``predicted`` are boolean (noise?)."""
+    """tp, fp, fn, tn and the scores. ``truth`` and ``predicted`` are boolean (noise?).
+
+    ``weight`` says how many rows a row stands for, if the table is already counted.
+    """
+    one = F.lit(1) if weight is None else weight
+
+    def cell(condition, name):
+        return F.coalesce(F.sum(F.when(condition, one)), F.lit(0)).cast("long").alias(name)
+
     cells = df.groupBy(*by).agg(
-        F.count_if(truth & predicted).alias("tp"),
-        F.count_if(~truth & predicted).alias("fp"),
-        F.count_if(truth & ~predicted).alias("fn"),
-        F.count_if(~truth & ~predicted).alias("tn"),
+        cell(truth & predicted, "tp"),
+        cell(~truth & predicted, "fp"),
+        cell(truth & ~predicted, "fn"),
+        cell(~truth & ~predicted, "tn"),
     )
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     return cells.select("*", *_scores(tp, fp, fn, tn, digits))

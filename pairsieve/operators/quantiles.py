@@ -31,8 +31,10 @@ def cumulative_counts(
     cuts = counts.agg(
         F.percentile_approx("value", [i / ranges for i in range(1, ranges)], 10_000)
     ).scalar()
-    ranged = counts.withColumn(
-        "_range", F.size(F.filter(cuts, lambda c: c <= F.col("value")))
+    ranged = (
+        counts.withColumn("_cuts", cuts)
+        .withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= F.col("value"))))
+        .drop("_cuts")
     )
     ahead = Window.partitionBy(*by).orderBy("_range").rowsBetween(
         Window.unboundedPreceding, -1

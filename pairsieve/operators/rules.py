@@ -170,3 +170,87 @@ def noise_tier(noise_type: Column) -> Column:
 def tier_removed(tier: Column, aggressive: bool = True) -> Column:
     """Aggressive mode removes both noise tiers, conservative mode the definite one."""
     return (tier != "CLEAN") if aggressive else (tier == "DEFINITE_NOISE")
+
+
+def flag_profile(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """One boolean column per rule and the count ``n`` of rows with that combination.
+
+    At most 2^rules rows, from one pass over the table. Inclusive counts, co-occurrence
+    and ablations all read this profile instead of the rows.
+    """
+    return df.groupBy(*[r.fires.alias(r.name) for r in rules]).agg(F.count("*").alias("n"))
+
+
+def _first_of(names: Sequence[str]) -> Column:
+    chain = F.lit(None).cast("string")
+    for name in reversed(names):
+        chain = F.when(F.col(name), F.lit(name)).otherwise(chain)
+    return chain
+
+
+def profile_counts(profile: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(noise_type, inclusive, exclusive): all rows a rule fires on / is first on."""
+    first = _first_of(names)
+    return profile.select(
+        "n",
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(name).alias("noise_type"),
+                        F.col(name).alias("fires"),
+                        F.coalesce(first == name, F.lit(False)).alias("is_first"),
+                    )
+                    for name in names
+                ]
+            )
+        ),
+    ).groupBy("noise_type").agg(
+        F.coalesce(F.sum(F.when(F.col("fires"), F.col("n"))), F.lit(0)).alias("inclusive"),
+        F.coalesce(F.sum(F.when(F.col("is_first"), F.col("n"))), F.lit(0)).alias("exclusive"),
+    )
+
+
+def co_occurrence(profile: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(type_a, type_b, n): rows on which both rules fire, for every pair of rules."""
+    pairs = [
+        F.struct(
+            F.lit(a).alias("type_a"), F.lit(b).alias("type_b"),
+            (F.col(a) & F.col(b)).alias("both"),
+        )
+        for i, a in enumerate(names)
+        for b in names[i + 1:]
+    ]
+    return (
+        profile.select("n", F.inline(F.array(*pairs)))
+        .filter("both")
+        .groupBy("type_a", "type_b")
+        .agg(F.sum("n").alias("n"))
+    )
+
+
+def ablation(profile: DataFrame, names: Sequence[str], variants: dict) -> DataFrame:
+    """(variant, tp, fp, fn, tn, scores): the rule list without some rules against all of it.
+
+    ``variants`` maps a name to the rules switched off. All variants come from one pass.
+    """
+    from pairsieve.operators.metrics import confusion
+
+    def any_of(kept):
+        flag = F.lit(False)
+        for name in kept:
+            flag = flag | F.col(name)
+        return flag
+
+    rows = [
+        F.struct(
+            F.lit(variant).alias("variant"),
+            any_of(names).alias("truth"),
+            any_of([n for n in names if n not in off]).alias("predicted"),
+        )
+        for variant, off in variants.items()
+    ]
+    weighted = profile.select("n", F.inline(F.array(*rows)))
+    return confusion(
+        weighted, F.col("truth"), F.col("predicted"), by=["variant"], weight=F.col("n")
+    )
