@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pairsieve.functions import code_structure as cs
 from pairsieve.operators.dictionary import with_hit_flag
+from pairsieve.session import spread_small
 from pairsieve.sources.schema import LABEL, ROW_ID, SRC, TARGET
 
 SYNTAX, RELEVANCE, COVERAGE = "syntax", "relevance", "coverage"
@@ -81,7 +82,17 @@ def with_structure(
     if options.first_match_only:
         scan_src = F.when(~F.col("_hit"), scan_src)
         scan_target = F.when(~F.col("_hit"), scan_target)
-    return df.withColumns({"_src": scan_src, "_tgt": scan_target})
+    return scanned_once(df, {"_src": scan_src, "_tgt": scan_target})
+
+
+def scanned_once(df: DataFrame, scans: dict[str, Column]) -> DataFrame:
+    """Add costly columns behind a generator of one row.
+
+    Filters on what derives from them cannot move below a generator, where the optimizer
+    would otherwise copy the whole scan into the filter condition and run it again.
+    """
+    row = F.struct(*[c.alias(name) for name, c in scans.items()])
+    return spread_small(df).select("*", F.inline(F.array(row)))
 
 
 def standard_rules(df: DataFrame, options: RuleOptions) -> list[Rule]:

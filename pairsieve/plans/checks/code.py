@@ -17,6 +17,7 @@ from pairsieve.operators.rules import (
     flag_profile,
     inclusive_match,
     profile_counts,
+    scanned_once,
     standard_rules,
     with_structure,
 )
@@ -80,10 +81,9 @@ def case_sql(names):
 
 
 def _scanned(spark, sf_dir):
-    pairs = code_pairs(spark, sf_dir)
-    return pairs.select(
-        "row_id", cs.scan_code(F.col("src_fm")).alias("src"),
-        cs.scan_code(F.col("target")).alias("tgt"),
+    pairs = code_pairs(spark, sf_dir).select("row_id", "src_fm", "target")
+    return scanned_once(
+        pairs, {"src": cs.scan_code(F.col("src_fm")), "tgt": cs.scan_code(F.col("target"))}
     )
 
 

@@ -15,6 +15,7 @@ from pairsieve.operators.rules import (
     below_threshold,
     first_match,
     remove_listed,
+    scanned_once,
 )
 from pairsieve.plans.checks.code import cells_sql, scores_sql
 from pairsieve.plans.checks.tables import (
@@ -176,9 +177,11 @@ _DOC_SCAN = "d AS (SELECT doc_id AS id, text AS code FROM documents), " + scan_s
 FROM documents""")
 def unbalanced_text(spark, sf_dir):
     """The bracket and literal part of the grammar rule, over whole documents."""
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", cs.scan_code(F.col("text"))["broken"].alias("flag")
+    docs = scanned_once(
+        table(spark, sf_dir, "documents").select("doc_id", "text"),
+        {"scan": cs.scan_code(F.col("text"))},
     )
+    return docs.select("doc_id", F.col("scan.broken").alias("flag"))
 
 
 @query(f"""SELECT doc_id, len(t)::bigint AS n_tokens, md5(array_to_string(t, ' ')) AS token_hash

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pairsieve.functions import prompts, text
 from pairsieve.functions import code_structure as cs
 from pairsieve.operators import judging, report, scoring
-from pairsieve.operators.rules import RuleOptions, below_threshold
+from pairsieve.operators.rules import RuleOptions, below_threshold, scanned_once
 from pairsieve.plans.checks.code import NAMES, THRESHOLD, WITH_FLAGS, case_sql
 from pairsieve.plans.checks.documents import _TURNS, _turns
 from pairsieve.plans.checks.tables import (
@@ -20,6 +20,7 @@ from pairsieve.plans.checks.tables import (
 )
 from pairsieve.plans.cleaning import label_pairs
 from pairsieve.plans.splitting import evaluate
+from pairsieve.session import stored_table
 
 QUERIES, ORACLES, query = registry()
 
@@ -42,10 +43,12 @@ final AS (SELECT row_id, CASE WHEN over2 THEN after_relevance ELSE label1 END AS
 
 
 def _labelled(spark, sf_dir):
-    return label_pairs(
+    """Stored once, as the cleaning job does before it asks a judge."""
+    labelled = label_pairs(
         code_pairs(spark, sf_dir), one_pattern(spark),
         RuleOptions(coverage_threshold=THRESHOLD), keep_later_labels=True,
     )
+    return stored_table(labelled, "labelled")
 
 
 def _answers(routed, labelled, answer):
@@ -196,9 +199,9 @@ SELECT row_id, CASE WHEN length(src_fm) > 120 THEN 'judge_reflect'
   WHEN length(name) < 5 THEN 'decide' ELSE 'judge' END AS route
 FROM flags LEFT JOIN d ON d.id = row_id WHERE no_relevance""")
 def judge_triage(spark, sf_dir):
-    pairs = code_pairs(spark, sf_dir).select(
-        "row_id", "src_fm", "target", cs.scan_code(F.col("src_fm")).alias("s"),
-        cs.scan_code(F.col("target")).alias("t"),
+    pairs = scanned_once(
+        code_pairs(spark, sf_dir).select("row_id", "src_fm", "target"),
+        {"s": cs.scan_code(F.col("src_fm")), "t": cs.scan_code(F.col("target"))},
     )
     first_name = F.array_min(F.transform(cs.declared_methods(F.col("s")), lambda m: m["name"]))
     scored = pairs.select(

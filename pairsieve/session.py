@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the jobs rely on. Shuffle partition counts are left to the cluster: adaptive
 # execution coalesces small ones and splits skewed ones.
@@ -12,6 +13,9 @@ JOB_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Labelling is bound by computation, not by bytes: do not merge small partitions so
+    # far that cores stand idle.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
@@ -37,3 +41,26 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     return tempfile.mkdtemp(prefix="pairsieve-")
+
+
+def stored_table(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: computed once, short lineage."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# Below this many bytes per core an input counts as small for work bound by computation.
+SMALL_PER_CORE = 8 << 20
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Give every core a share of a small input (say, one file of one row group).
+
+    Large inputs have enough partitions and pass unchanged, without a shuffle.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(estimate)) < SMALL_PER_CORE * cores else df
