@@ -26,7 +26,9 @@ COMMENT, LITERAL, PARENS, BLOCK, EMPTY_BLOCK, INDEX, TYPE_NAME = (
     chr(i) for i in range(1, 8)
 )
 HEAD, NAME = chr(14), chr(15)
-_CONTROL = r"[\x01-\x08\x0e-\x1f]"
+# Escaped quotes and backslashes must not end a literal; control characters would be taken
+# for placeholders. Two '#' stand in: hidden inside literals, illegal outside, as they are.
+_HIDDEN = r"""\\[\\"']|[\x01-\x08\x0e-\x1f]"""
 
 # Characters of a name. All of non-ASCII counts as letters: cheaper to test than the
 # Unicode letter classes, and other non-ASCII characters are illegal there anyway.
@@ -50,35 +52,40 @@ MODIFIERS = [
 ]
 TYPE_KEYWORDS = ["class", "interface", "enum", "record"]
 
+# The matcher tries a pattern at every character of a text, so every pattern starts with
+# a character that is rare in code; conditions on what stands before it come second.
 _LITERAL_OR_COMMENT = (
-    r'(//[^\n]*|/\*[\s\S]*?\*/)|"""[\s\S]*?"""|"[^"\n]*"|' r"'[^'\n]*'"
+    r'(?=["\'/])(?:(//[^\n]*|/\*[\s\S]*?\*/)|"""[\s\S]*?"""|"[^"\n]*"|' r"'[^'\n]*')"
 )
-_MARKED_COMMENT = rf"(?://[^\n{LITERAL}]*|/\*[^{LITERAL}]*?\*/){LITERAL}"
+_MARKED_COMMENT = rf"/(?:/[^\n{LITERAL}]*|\*[^{LITERAL}]*?\*/){LITERAL}"
+_ANNOTATION_NAME = rf"@ ?[{_LETTERS}][{_WORD}.]*"
 # Type arguments hug the name before them (List<String>, Foo::<T>bar, x.<T>y()).
 _TYPE_ARGUMENTS = (
-    rf"(?<=[{_WORD}.:])<(?=[\s{COMMENT}]*(?:[?>@_$A-Z]|{_W}+[.\[]))"
+    rf"<(?<=[{_WORD}.:]<)(?=[\s{COMMENT}]*(?:[?>@_$A-Z]|{_W}+[.\[]))"
     rf"(?![^<>]*&&)[{_WORD} ,.?&@\[\]{COMMENT}{TYPE_NAME}]*>"
 )
 # Type parameters of a declaration stand free (public <T> T get()).
-_FREE_TYPE_PARAMETERS = rf"(?<![{_WORD}.:])<[@{_LETTERS}][^<>(){{}};=]*>"
+_FREE_TYPE_PARAMETERS = rf"<(?<![{_WORD}.:]<)[@{_LETTERS}][^<>(){{}};=]*>"
 _UNBOUNDED_TYPE_PARAMETERS = (
-    rf"(?<![{_WORD}.:])<(?![^<>]*extends)[@{_LETTERS}][^<>(){{}};=]*>{_GAP}*"
+    rf"<(?<![{_WORD}.:]<)(?![^<>]*extends)[@{_LETTERS}][^<>(){{}};=]*>{_GAP}*"
     rf"(?:@{TYPE_NAME}{_GAP}*)*[{_LETTERS}][{_WORD}.]*(?: ?\[ ?\])*{_GAP}+"
     rf"{_W}+{_GAP}*\("
 )
-# [previous word or array dims] name( : marked once, before anything is collapsed.
-_GROUP_HEAD = (
-    rf"((?<!{_W}){_W}++{_GAP}++|{INDEX}{_GAP}*+)?"
-    rf"(?<!{_W})([{_LETTERS}]{_W}*+){_GAP}*+\("
+_NEW_TYPE = rf"new (?<!{_W}new )[{_WORD}.]+"
+_EMPTY_FINALLY = rf"finally(?<!{_W}finally){_GAP}*{EMPTY_BLOCK}"
+# [previous word or array dims] name( , read from right to left.
+_GROUP_HEAD_REVERSED = (
+    rf"\({_GAP}*+({_W}++)(?<=[{_LETTERS}])({_GAP}++{_W}++|{_GAP}*+{INDEX})?"
 )
 _MARKED_HEAD = rf"{HEAD}[{_WORD} {COMMENT}{INDEX}]*+{NAME}{_W}++"
+_MARKED_GROUP = rf"{_MARKED_HEAD}\({_FLAT}\)"
+_UNNAMED_GROUP = rf"\((?<!{_W}\(){_FLAT}\)"
 # marked name(flat arguments) [throws ...] [; or body]
 _NAMED_GROUP = (
-    rf"{_MARKED_HEAD}\({_FLAT}\)"
+    rf"{_MARKED_GROUP}"
     rf"(?:(?:{_GAP}*{INDEX})*{_GAP}*(?:throws{_GAP}[^;{{}}(){BLOCK}{EMPTY_BLOCK}]*)?"
     rf"[;{{{BLOCK}{EMPTY_BLOCK}])?"
 )
-_PAREN_GROUP = rf"(?:{_MARKED_HEAD})?\({_FLAT}\)"
 
 
 def _rep(col: Column, pattern: str, replacement: str) -> Column:
@@ -92,10 +99,7 @@ def _let(value: Column, body) -> Column:
 
 def mask_code(code: Column) -> Column:
     """Comments and literals become one character each, whitespace one blank."""
-    plain = _rep(code, _CONTROL, "#")
-    # An escaped quote or backslash must not end a literal. Two neutral characters take
-    # its place, so that the literal patterns below need no nested repetition.
-    plain = _rep(plain, r"""\\[\\"']""", "__")
+    plain = _rep(code, _HIDDEN, "##")
     marked = _rep(plain, _LITERAL_OR_COMMENT, "$1" + LITERAL)
     masked = _rep(marked, _MARKED_COMMENT, COMMENT)
     return F.trim(_rep(masked, r"\s+", " "))
@@ -119,10 +123,8 @@ def _until_stable(text: Column, rounds: Column, step) -> Column:
 
 def flatten_names(masked: Column) -> Column:
     """Drop annotation names and type arguments; keep free type parameters."""
-    text = _rep(masked, r" ?\. ?", ".")
-    text = _rep(text, rf"@ ?[{_LETTERS}][{_WORD}.]*", "@" + TYPE_NAME)
     return _let(
-        text,
+        _rep(masked, _ANNOTATION_NAME, "@" + TYPE_NAME),
         lambda t: F.when(
             F.contains(t, F.lit("<")),
             _until_stable(
@@ -149,14 +151,14 @@ def _peel(text: Column) -> Column:
         return _let(
             blocks,
             lambda b: _let(
-                _rep(b, _PAREN_GROUP, PARENS),
+                _rep(_rep(b, _MARKED_GROUP, PARENS), _UNNAMED_GROUP, PARENS),
                 lambda t: F.struct(
                     t.alias("s"),
                     F.concat(
                         st["groups"],
                         F.regexp_extract_all(b, F.lit(_NAMED_GROUP), F.lit(0)),
                     ).alias("groups"),
-                    (t == st["s"]).alias("done"),
+                    ((t == st["s"]) | ~t.rlike(r"[)\]}]")).alias("done"),
                 ),
             ),
         )
@@ -209,20 +211,19 @@ def scan_code(code: Column) -> Column:
     """struct<ambiguous, broken, empty_finally, groups array<struct<kind,name,inner,tail>>>."""
     def prepare(text):
         ready = _rep(text, _FREE_TYPE_PARAMETERS, "")
-        ready = _rep(ready, rf"(?<!{_W})new [{_WORD}.]+", "new " + TYPE_NAME)
+        ready = _rep(ready, _NEW_TYPE, "new " + TYPE_NAME)
         # The end of the text counts as the end of a statement; one trailing ';' keeps
         # the tail of a group readable from its last character.
         ready = F.concat(_rep(ready, r"\{ ?\}", EMPTY_BLOCK), F.lit(" ;"))
-        return _rep(_rep(ready, r"\[ ?\]", INDEX), _GROUP_HEAD, f"{HEAD}$1{NAME}$2(")
+        ready = F.reverse(_rep(ready, r"\[ ?\]", INDEX))
+        return F.reverse(_rep(ready, _GROUP_HEAD_REVERSED, f"($1{NAME}$2{HEAD}"))
 
     def finish(flat, ready):
         return _let(
             _peel(ready),
             lambda st: F.struct(
                 flat.rlike(_UNBOUNDED_TYPE_PARAMETERS).alias("ambiguous"),
-                ready.rlike(rf"(?<!{_W})finally{_GAP}*{EMPTY_BLOCK}").alias(
-                    "empty_finally"
-                ),
+                ready.rlike(_EMPTY_FINALLY).alias("empty_finally"),
                 (
                     flat.rlike(r"""["'#`\\]|/\*""") | st["s"].rlike(r"[(){}\[\]]")
                 ).alias("broken"),
@@ -357,6 +358,12 @@ NON_ENGLISH_RANGES = [
 
 
 def in_char_ranges(text: Column, ranges=NON_ENGLISH_RANGES) -> Column:
-    """True if any character of the text lies in one of the ranges."""
+    """True if any character of the text lies in one of the ranges.
+
+    Pure ASCII text, told by its byte count, is not searched for non-ASCII ranges.
+    """
     spans = "".join(f"{lo}-{hi}" for lo, hi in ranges)
-    return F.coalesce(text.rlike(f"[{spans}]"), F.lit(False))
+    found = text.rlike(f"[{spans}]")
+    if all(lo > "\x7f" for lo, _ in ranges):
+        found = (F.octet_length(text) > F.char_length(text)) & found
+    return F.coalesce(found, F.lit(False))

@@ -23,25 +23,41 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
     )
 
 
+def _with_range(counts: DataFrame, cuts, ranges: int) -> DataFrame:
+    """Add ``_range``: how many cuts a value has passed, by halving the list of cuts.
+
+    ``ranges`` is a power of two and there is one cut less. Each step is a projection of
+    its own, so no step is evaluated twice.
+    """
+    df = counts.withColumn("_cuts", cuts).withColumn("_range", F.lit(0))
+    step = ranges // 2
+    while step:
+        passed = F.get("_cuts", F.col("_range") + (step - 1)) <= F.col("value")
+        df = df.withColumn(
+            "_range",
+            F.col("_range") + F.when(passed, F.lit(step)).otherwise(F.lit(0)),
+        )
+        step //= 2
+    return df.drop("_cuts")
+
+
 def cumulative_counts(
     df: DataFrame, value: str, by: Sequence[str] = (), ranges: int = RANGES
 ) -> DataFrame:
-    """(by..., value, n, before): how often a value occurs and how many are smaller."""
+    """(by..., value, n, before, total): occurrences of a value, rows below it, all rows."""
     counts = value_counts(df, value, by)
     cuts = counts.agg(
         F.percentile_approx("value", [i / ranges for i in range(1, ranges)], 10_000)
     ).scalar()
-    ranged = (
-        counts.withColumn("_cuts", cuts)
-        .withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= F.col("value"))))
-        .drop("_cuts")
-    )
-    ahead = Window.partitionBy(*by).orderBy("_range").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    ranged = _with_range(counts, cuts, ranges)
+    group = Window.partitionBy(*by)
+    ahead = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     # At most `ranges` rows per group of `by`.
     offsets = ranged.groupBy(*by, "_range").agg(F.sum("n").alias("_n")).select(
-        *by, "_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_offset")
+        *by,
+        "_range",
+        F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_offset"),
+        F.sum("_n").over(group).alias("total"),
     )
     inside = Window.partitionBy(*by, "_range").orderBy("value").rowsBetween(
         Window.unboundedPreceding, -1
@@ -52,6 +68,7 @@ def cumulative_counts(
         "value",
         "n",
         (F.col("_offset") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("before"),
+        "total",
     )
 
 
@@ -66,12 +83,7 @@ def exact_quantiles(
     df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()
 ) -> DataFrame:
     """One row per group with a column per named probability, linearly interpolated."""
-    cumulative = cumulative_counts(df, value, by)
-    totals = value_counts(df, value, by).groupBy(*by).agg(F.sum("n").alias("_total"))
-    if by:
-        placed = cumulative.join(totals, list(by))
-    else:
-        placed = cumulative.withColumn("_total", totals.scalar())
+    placed = cumulative_counts(df, value, by)
 
     def at(index):
         inside = (F.col("before") <= index) & (index < F.col("before") + F.col("n"))
@@ -79,7 +91,7 @@ def exact_quantiles(
 
     columns = []
     for name, p in probs.items():
-        position = F.lit(p) * (F.col("_total") - 1)
+        position = F.lit(p) * (F.col("total") - 1)
         low, high = F.floor(position), F.ceil(position)
         lower, upper = at(low), at(high)
         part = F.max(position - low)

@@ -25,6 +25,7 @@ from pairsieve.plans.checks.tables import (
     scan_sql,
     table,
 )
+from pairsieve.session import spread_small
 from pairsieve.sources.readers import head_rows
 
 QUERIES, ORACLES, query = registry()
@@ -189,7 +190,7 @@ FROM (SELECT doc_id, regexp_extract_all(text, '{DUCK_TOKEN}') AS t FROM document
 def document_tokens(spark, sf_dir):
     tok = text.tokens(F.col("text"))
     return (
-        table(spark, sf_dir, "documents")
+        spread_small(table(spark, sf_dir, "documents").select("doc_id", "text"))
         .select("doc_id", tok.alias("t"))
         .select(
             "doc_id",
