@@ -86,9 +86,10 @@ def regression(df: DataFrame, y: str, p: str, tiny: float = 0.0) -> DataFrame:
         F.avg(error * error).alias("mse"),
         F.var_pop(y).alias("var_y"),
         F.stddev_pop(p).alias("std_p"),
-        F.corr(p, y).alias("r"),
+        F.covar_pop(p, y).alias("cov"),
     )
     varies = (F.sqrt("var_y") > 1e-9) & (F.col("std_p") > 1e-9)
+    spread = F.nullif(F.sqrt("var_y") * F.col("std_p"), F.lit(0.0))
     return sums.select(
         "n",
         "mae",
@@ -98,7 +99,7 @@ def regression(df: DataFrame, y: str, p: str, tiny: float = 0.0) -> DataFrame:
             F.col("var_y") * F.col("n") > F.lit(tiny),
             1 - F.col("mse") / F.nullif("var_y", F.lit(0.0)),
         ).otherwise(F.lit(float("nan"))).alias("r2"),
-        F.when(varies, F.col("r")).alias("pearson_r"),
+        F.when(varies, F.col("cov") / spread).alias("pearson_r"),
     )
 
 

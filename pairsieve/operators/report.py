@@ -36,12 +36,11 @@ def shares(labelled: DataFrame) -> DataFrame:
 def report_row(labelled: DataFrame) -> DataFrame:
     """One row: totals, breakdown map, judge counters, removal rate.
 
-    ``judged`` and ``overridden`` flags are counted if the table has them.
+    ``judged`` and ``overridden`` (questions asked and labels overruled per row) are
+    summed if the table has them.
     """
     def flagged(name):
-        return (
-            F.count_if(F.col(name)) if name in labelled.columns else F.lit(0).cast("long")
-        )
+        return F.sum(name) if name in labelled.columns else F.sum(F.lit(0))
 
     per_label = labelled.groupBy("noise_type").agg(
         F.count("*").alias("n"),
