@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairsieve.operators.quantiles import with_ranges
+
 
 def kind_counts(log: DataFrame, kind: str = "kind") -> DataFrame:
     return log.groupBy(kind).agg(F.count("*").alias("n"))
@@ -28,15 +30,36 @@ def trajectory(
 ) -> DataFrame:
     """Add change since the previous entry, best so far, and whether this one is best.
 
-    One run has as many entries as it has checkpoints; ``by`` names the run.
+    ``by`` names the run. A long run is cut into ranges of ``order``, so that no single
+    task has to walk it: each range is handled alone, and the last and best value of the
+    ranges before it are carried in.
     """
-    run = Window.partitionBy(*by).orderBy(order)
-    so_far = run.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    best = (F.min if lower_is_better else F.max)(value).over(so_far)
+    best_of = F.min if lower_is_better else F.max
+    better = F.least if lower_is_better else F.greatest
+    ranged = with_ranges(evals, order)
+    run = Window.partitionBy(*by).orderBy("_range")
+    carried = (
+        ranged.groupBy(*by, "_range")
+        .agg(F.max_by(value, order).alias("_last"), best_of(value).alias("_best"))
+        .select(
+            *by,
+            "_range",
+            F.lag("_last").over(run).alias("_last"),
+            best_of("_best").over(run.rowsBetween(Window.unboundedPreceding, -1)).alias("_best"),
+        )
+    )
+    inside = Window.partitionBy(*by, "_range").orderBy(order)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    previous = F.when(F.row_number().over(inside) == 1, F.col("_last")).otherwise(
+        F.lag(value).over(inside)
+    )
     return (
-        evals.withColumn("change", F.col(value) - F.lag(value).over(run))
-        .withColumn("best_so_far", best)
+        ranged.join(carried, [*by, "_range"])
+        .withColumn("change", F.col(value) - previous)
+        .withColumn("best_so_far", better(best_of(value).over(so_far), F.col("_best")))
         .withColumn("is_best", F.col(value) == F.col("best_so_far"))
+        .drop("_range", "_last", "_best")
+        .select(*evals.columns, "change", "best_so_far", "is_best")
     )
 
 

@@ -23,16 +23,22 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
     )
 
 
-def _with_range(counts: DataFrame, cuts, ranges: int) -> DataFrame:
-    """Add ``_range``: how many cuts a value has passed, by halving the list of cuts.
+def with_ranges(df: DataFrame, value: str, ranges: int = RANGES) -> DataFrame:
+    """Add ``_range``, the number of the range a value lies in, ranges of like size.
 
-    ``ranges`` is a power of two and there is one cut less. Each step is a projection of
-    its own, so no step is evaluated twice.
+    The cuts are approximate quantiles. A value finds its range by halving the list of
+    cuts; ``ranges`` is a power of two. Each step is a projection of its own, so no step
+    is evaluated twice.
     """
-    df = counts.withColumn("_cuts", cuts).withColumn("_range", F.lit(0))
+    cuts = df.agg(
+        F.percentile_approx(
+            F.col(value).cast("double"), [i / ranges for i in range(1, ranges)], 10_000
+        )
+    ).scalar()
+    df = df.withColumn("_cuts", cuts).withColumn("_range", F.lit(0))
     step = ranges // 2
     while step:
-        passed = F.get("_cuts", F.col("_range") + (step - 1)) <= F.col("value")
+        passed = F.get("_cuts", F.col("_range") + (step - 1)) <= F.col(value)
         df = df.withColumn(
             "_range",
             F.col("_range") + F.when(passed, F.lit(step)).otherwise(F.lit(0)),
@@ -46,10 +52,7 @@ def cumulative_counts(
 ) -> DataFrame:
     """(by..., value, n, before, total): occurrences of a value, rows below it, all rows."""
     counts = value_counts(df, value, by)
-    cuts = counts.agg(
-        F.percentile_approx("value", [i / ranges for i in range(1, ranges)], 10_000)
-    ).scalar()
-    ranged = _with_range(counts, cuts, ranges)
+    ranged = with_ranges(counts, "value", ranges)
     group = Window.partitionBy(*by)
     ahead = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     # At most `ranges` rows per group of `by`.

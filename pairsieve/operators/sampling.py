@@ -3,7 +3,8 @@
 Rows are ordered by ``md5(seed:id)``, so the same rows come out on every run, for any
 partitioning. The order is never materialised: hash prefixes are counted, the bucket that
 holds the wanted rank is looked into, and the hash found there becomes a cut-off. Full
-rows are only compared with the cut-offs; they are not shuffled.
+rows are only compared with the cut-offs; they are not shuffled. Each function reads its
+input a few times (narrow, but for the last), so give it a stored table.
 """
 
 from __future__ import annotations
@@ -170,14 +171,17 @@ def stratified_split(
 
 
 def stratified_sample(
-    df: DataFrame, id_col: str, by: str, fraction: float, seed: int = 42
+    df: DataFrame, id_col: str, by: str, fraction: float, seed: int = 42, few_groups=False
 ) -> DataFrame:
-    """floor(n * fraction) rows of every group, so that group shares stay the same."""
+    """floor(n * fraction) rows of every group, so that group shares stay the same.
+
+    Say ``few_groups`` if the groups are labels of a fixed set; else Spark picks the join.
+    """
     cuts = hash_cutoffs(
-        df, id_col, seed, {"_cut_hash": lambda n: F.floor(n * F.lit(fraction))}, by=[by]
+        df, id_col, seed, {"_cut_hash": lambda n: F.floor(n * F.lit(fraction))}, [by], few_groups
     )
     return (
-        df.join(F.broadcast(cuts), by)
+        df.join(F.broadcast(cuts) if few_groups else cuts, by)
         .filter(order_hash(id_col, seed) <= F.col("_cut_hash"))
         .drop("_cut_hash")
     )

@@ -81,7 +81,7 @@ row_number() OVER (PARTITION BY event_type ORDER BY md5('42:' || event_id))
 <= floor(0.2 * count(*) OVER (PARTITION BY event_type))""")
 def stratified_sample(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "event_type")
-    return sampling.stratified_sample(events, "event_id", "event_type", 0.2)
+    return sampling.stratified_sample(events, "event_id", "event_type", 0.2, few_groups=True)
 
 
 @query(f"""WITH pairs AS ({CODE_PAIRS}), usable AS (

@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from pairsieve.functions.text import binary_label
 from pairsieve.operators import metrics, sampling
-from pairsieve.plans.cleaning import deduplicate, label_pairs
 from pairsieve.operators.rules import RELEVANCE, SYNTAX, RuleOptions
+from pairsieve.plans.cleaning import deduplicate, label_pairs
+from pairsieve.session import stored_table
 
 
 def comparison_sample(
     df: DataFrame, patterns: DataFrame | None, n: int = 500, seed: int = 42
 ) -> DataFrame:
     """A seeded sample of distinct pairs with ``noise_type`` and ``rule_label``."""
-    picked = sampling.sample_rows(deduplicate(df), "row_id", n, seed)
+    picked = sampling.sample_rows(
+        stored_table(deduplicate(df), "distinct_pairs"), "row_id", n, seed
+    )
     labelled = label_pairs(picked, patterns, RuleOptions(stages=(SYNTAX, RELEVANCE)))
     return labelled.withColumn("rule_label", binary_label(F.col("noise_type")))
 

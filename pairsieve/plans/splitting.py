@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pairsieve.functions.text import clip
 from pairsieve.operators import metrics, sampling
 from pairsieve.operators.dedup import keep_first
+from pairsieve.session import stored_table
 from pairsieve.sources.schema import LABEL, ROW_ID, SRC, TARGET, require_columns
 from pairsieve.sources.writers import write_json, write_parquet, write_splits
 
@@ -56,6 +57,8 @@ def split_pairs(df: DataFrame, options: SplitOptions | None = None) -> DataFrame
     rows = usable_rows(df, o.clip_max)
     if o.deduplicate:
         rows = keep_first(rows, TARGET)
+    # Edges, counts and cut-offs each read the rows: remove duplicates once.
+    rows = stored_table(rows, "distinct_pairs")
     rows = sampling.cap_rows(rows, ROW_ID, o.max_rows, o.seed)
     edges_of = sampling.distinct_edges if o.drop_repeated_edges else sampling.quantile_edges
     edges = edges_of(rows, LABEL, o.n_strata)
