@@ -99,12 +99,19 @@ def _let(value: Column, body) -> Column:
 
 def mask_code(code: Column) -> Column:
     """Comments and literals become one character each, whitespace one blank."""
-    plain = _rep(code, _HIDDEN, "##")
+    rare = code.rlike(r"[\\\x01-\x08\x0e-\x1f]")
+    plain = F.when(rare, _rep(code, _HIDDEN, "##")).otherwise(code)
     marked = _rep(plain, _LITERAL_OR_COMMENT, "$1" + LITERAL)
     masked = _rep(marked, _MARKED_COMMENT, COMMENT)
     return F.trim(_rep(masked, r"\s+", " "))
 
 
+def _occurrences(text: Column, chars: str) -> Column:
+    """How often the characters occur; plain replacement is far cheaper than a pattern."""
+    gone = [F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in chars]
+    return sum(gone[1:], gone[0])
+
+
 def _until_stable(text: Column, rounds: Column, step) -> Column:
     """Apply ``step`` until the text stops changing (at most ``rounds`` times)."""
     start = F.struct(text.alias("s"), F.lit(False).alias("done"))
@@ -129,7 +136,7 @@ def flatten_names(masked: Column) -> Column:
             F.contains(t, F.lit("<")),
             _until_stable(
                 t,
-                F.regexp_count(t, F.lit("<")),
+                _occurrences(t, "<"),
                 lambda s: _rep(s, _TYPE_ARGUMENTS, ""),
             ),
         ).otherwise(t),
@@ -164,7 +171,7 @@ def _peel(text: Column) -> Column:
         )
 
     return F.aggregate(
-        F.sequence(F.lit(0), F.regexp_count(text, F.lit(r"[)\]}]"))),
+        F.sequence(F.lit(0), _occurrences(text, ")]}")),
         start,
         lambda st, _: F.when(st["done"], st).otherwise(one_round(st)),
     )
@@ -173,7 +180,7 @@ def _peel(text: Column) -> Column:
 def _group_parts(group: Column) -> Column:
     """One noted group as struct<kind, name, inner, tail>."""
     head = F.substring_index(group, "(", 1)
-    prev = F.translate(F.substring_index(head, NAME, 1), HEAD + COMMENT + " ", "")
+    prev = F.btrim(F.substring_index(head, NAME, 1), F.lit(HEAD + COMMENT + " "))
     last = F.substring(group, -1, 1)
     tail = (
         F.when(last == ";", F.lit("none"))
