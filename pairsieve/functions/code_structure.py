@@ -106,17 +106,11 @@ def mask_code(code: Column) -> Column:
     return F.trim(_rep(masked, r"\s+", " "))
 
 
-def _occurrences(text: Column, chars: str) -> Column:
-    """How often the characters occur; plain replacement is far cheaper than a pattern."""
-    gone = [F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in chars]
-    return sum(gone[1:], gone[0])
-
-
 def _until_stable(text: Column, rounds: Column, step) -> Column:
     """Apply ``step`` until the text stops changing (at most ``rounds`` times)."""
     start = F.struct(text.alias("s"), F.lit(False).alias("done"))
     return F.aggregate(
-        F.sequence(F.lit(0), rounds),
+        F.sequence(F.lit(1), rounds),
         start,
         lambda st, _: F.when(st["done"], st).otherwise(
             _let(
@@ -136,7 +130,7 @@ def flatten_names(masked: Column) -> Column:
             F.contains(t, F.lit("<")),
             _until_stable(
                 t,
-                _occurrences(t, "<"),
+                F.size(F.split(t, "<")),
                 lambda s: _rep(s, _TYPE_ARGUMENTS, ""),
             ),
         ).otherwise(t),
@@ -171,7 +165,7 @@ def _peel(text: Column) -> Column:
         )
 
     return F.aggregate(
-        F.sequence(F.lit(0), _occurrences(text, ")]}")),
+        F.sequence(F.lit(1), F.size(F.split(text, r"[)\]}]"))),
         start,
         lambda st, _: F.when(st["done"], st).otherwise(one_round(st)),
     )
@@ -180,7 +174,7 @@ def _peel(text: Column) -> Column:
 def _group_parts(group: Column) -> Column:
     """One noted group as struct<kind, name, inner, tail>."""
     head = F.substring_index(group, "(", 1)
-    prev = F.btrim(F.substring_index(head, NAME, 1), F.lit(HEAD + COMMENT + " "))
+    prev = F.translate(F.substring_index(head, NAME, 1), HEAD + COMMENT + " ", "")
     last = F.substring(group, -1, 1)
     tail = (
         F.when(last == ";", F.lit("none"))
