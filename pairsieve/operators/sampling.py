@@ -24,7 +24,7 @@ def order_hash(id_col: str, seed: int) -> Column:
 
 
 def hash_cutoffs(
-    df: DataFrame, id_col: str, seed: int, sizes: dict, by: Sequence[str] = (), few_groups=True
+    df: DataFrame, id_col: str, seed: int, sizes: dict, by: Sequence[str] = (), few_groups=False
 ) -> DataFrame:
     """(by..., one column per entry of ``sizes``): the hash of the last row that belongs.
 
@@ -66,7 +66,7 @@ def hash_cutoffs(
     ).filter((F.col("_before") < F.col("_k")) & (F.col("_k") <= F.col("_before") + F.col("_n")))
     wanted = wanted.select(*by, "_b", "_cut", (F.col("_k") - F.col("_before")).alias("_k"))
     inside = keys.select(*by, "h", prefix).join(
-        F.broadcast(wanted) if few_groups else wanted, [*by, "_b"]
+        F.broadcast(wanted) if few_groups or not by else wanted, [*by, "_b"]
     )
     rank = F.row_number().over(Window.partitionBy(*by, "_cut").orderBy("h"))
     return (
@@ -145,8 +145,12 @@ def stratified_split(
     train: float = 0.8,
     valid: float = 0.1,
     seed: int = 42,
+    few_groups: bool = False,
 ) -> DataFrame:
-    """Add ``split``: per stratum floor(n*train), floor(n*valid), the rest is 'test'."""
+    """Add ``split``: per stratum floor(n*train), floor(n*valid), the rest is 'test'.
+
+    Say ``few_groups`` if the strata are a fixed set; else Spark picks the join.
+    """
     if train + valid >= 1.0:
         raise ValueError("train + valid must leave room for test")
     cuts = hash_cutoffs(
@@ -156,6 +160,7 @@ def stratified_split(
             "_valid": lambda n: F.floor(n * F.lit(train)) + F.floor(n * F.lit(valid)),
         },
         by=[stratum],
+        few_groups=few_groups,
     )
     h = order_hash(id_col, seed)
     split = (
@@ -164,7 +169,7 @@ def stratified_split(
         .otherwise(F.lit("test"))
     )
     return (
-        df.join(F.broadcast(cuts), stratum, "left")
+        df.join(F.broadcast(cuts) if few_groups else cuts, stratum, "left")
         .withColumn("split", split)
         .drop("_train", "_valid")
     )

@@ -55,7 +55,7 @@ def _split(spark, sf_dir):
     strata = docs.withColumn(
         "stratum", sampling.stratum_of(F.col("n_chars").cast("double"), edges)
     )
-    return sampling.stratified_split(strata, "doc_id", "stratum")
+    return sampling.stratified_split(strata, "doc_id", "stratum", few_groups=True)
 
 
 @query(f"WITH {_EDGES}, {_SPLIT} SELECT doc_id, stratum::bigint AS stratum, split FROM split")

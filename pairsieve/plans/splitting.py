@@ -64,7 +64,7 @@ def split_pairs(df: DataFrame, options: SplitOptions | None = None) -> DataFrame
     edges = edges_of(rows, LABEL, o.n_strata)
     strata = rows.withColumn("stratum", sampling.stratum_of(F.col(LABEL), edges))
     return sampling.stratified_split(
-        strata, ROW_ID, "stratum", o.train, o.valid, o.seed
+        strata, ROW_ID, "stratum", o.train, o.valid, o.seed, few_groups=True
     ).drop("stratum")
 
 
