@@ -1,8 +1,30 @@
 """The operators' registered queries and their SQL."""
 
-from pairsieve.llm import byte_bpe, exact_dedup, mixing, quality, simhash, wavelet
+from pairsieve.llm import (
+    byte_bpe,
+    class_model,
+    exact_dedup,
+    mixing,
+    neighbours,
+    pii,
+    quality,
+    simhash,
+    templates,
+    wavelet,
+)
 
-_PARTS = (simhash, byte_bpe, wavelet, quality, exact_dedup, mixing)
+_PARTS = (
+    simhash,
+    byte_bpe,
+    neighbours,
+    wavelet,
+    quality,
+    class_model,
+    exact_dedup,
+    templates,
+    pii,
+    mixing,
+)
 
 
 def all_queries():
