@@ -46,7 +46,7 @@ MIN_COUNT = 50
 ROUNDS = 8
 DISCOUNT = 0.75
 PRIOR = 10.0  # weight of the class frequencies in a transition row
-BATCH = 4_000_000
+BATCH = 2_000_000
 _END = CLASSES + FORMS  # class of the end token
 _MARKS = b"#*$&%!"
 _LETTERS = 24
@@ -223,12 +223,12 @@ class _Batch:
         self.sizes = numbers("sizes").astype(np.int64)
         self.held = numbers("held").astype(bool)
         self.docs = columns["doc_ids"][i].values
-        self.forms = numbers("forms").astype(np.int64)
+        self.forms = numbers("forms")
         self.ids = _numbers(columns["ids"][i].as_py(), "<i4")
         self.totals = np.zeros(len(self.words), np.int64)
         places = _numbers(columns["totals_places"][i].as_py(), "<i4")
         self.totals[places] = _numbers(columns["totals"][i].as_py(), "<i8")
-        self.classes = self.forms + CLASSES
+        self.classes = self.forms.astype(np.int32) + CLASSES
         if "classes" in columns:
             places = _numbers(columns["classes_places"][i].as_py(), "<i4")
             self.classes[places] = _numbers(columns["classes"][i].as_py(), "<i8")
@@ -256,18 +256,18 @@ def _context_batches(least: int):
     def run(batches):
         for batch in _rows(batches, _TEXT):
             chosen = np.flatnonzero(batch.totals >= least)
-            slot = np.full(len(batch.words) + 1, -1, np.int64)
+            slot = np.full(len(batch.words), -1, np.int32)
             slot[chosen] = np.arange(len(chosen))
-            words = batch.with_ends(np.arange(len(batch.words)), len(batch.words))
+            own = batch.with_ends(slot, -1)
             forms = batch.with_ends(batch.forms, FORMS)
-            own = slot[words]
-            use = batch.train_tokens() & (own >= 0)
-            before = np.concatenate(([FORMS], forms[:-1]))  # documents start behind an end
-            after = np.concatenate((forms[1:], [FORMS]))
-            width = 2 * (FORMS + 1)
-            flat = np.concatenate((own[use] * width + before[use], own[use] * width + FORMS + 1 + after[use]))
-            counts = np.bincount(flat, minlength=len(chosen) * width).astype("<i4")
-            counts = counts.reshape(len(chosen), width)
+            use = np.flatnonzero(batch.train_tokens() & (own >= 0))
+            own = own[use].astype(np.int64) * (2 * (FORMS + 1))
+            # Documents start behind an end; a chosen word is never last.
+            before = np.where(use > 0, forms[use - 1], FORMS)
+            size = len(chosen) * 2 * (FORMS + 1)
+            counts = np.bincount(own + before, minlength=size)
+            counts += np.bincount(own + (FORMS + 1) + forms[use + 1], minlength=size)
+            counts = counts.astype("<i4").reshape(len(chosen), -1)
             seen = counts.any(axis=1)
             vectors = [c.tobytes() for c in counts[seen]]
             yield pa.RecordBatch.from_arrays(
@@ -370,9 +370,9 @@ def _transition_batches(batches):
     sums = np.zeros((_END + 1) ** 2, np.int64)
     for batch in _rows(batches, _CLASSED):
         classes = batch.with_ends(batch.classes, _END)
-        before = np.concatenate(([_END], classes[:-1]))
-        use = batch.train_tokens()
-        sums += np.bincount(before[use] * (_END + 1) + classes[use], minlength=len(sums))
+        before = np.concatenate((np.array([_END], np.int32), classes[:-1]))
+        pairs = before * np.int32(_END + 1) + classes
+        sums += np.bincount(pairs[batch.train_tokens()], minlength=len(sums))
     at = np.flatnonzero(sums)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["pair", "n"])
 
@@ -413,7 +413,7 @@ def _score_batches(model: Model):
             sizes = batch.sizes + 1
             starts = np.cumsum(sizes) - sizes
             classes = batch.with_ends(batch.classes, _END)
-            before = np.concatenate(([_END], classes[:-1]))
+            before = np.concatenate((np.array([_END], np.int32), classes[:-1]))
             each = model.transition[before, classes]
             each = each + batch.with_ends(model.emissions(batch), 0.0)
             base = batch.with_ends(model.base(batch.totals), model.base(np.array(model.docs)))
