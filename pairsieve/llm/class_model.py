@@ -128,7 +128,8 @@ def _bucketed(df: DataFrame, name: str) -> DataFrame:
     """Write by batch into buckets in the shared folder: later joins on batch move nothing."""
     spark = df.sparkSession
     unique = f"{name}_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # More than shuffles have, so that a task seldom holds two batches.
+    buckets = min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 50_000)
     writer = df.write.bucketBy(buckets, "batch").option("compression", "zstd")
     writer.option("path", f"{shared_folder(spark)}/{unique}").saveAsTable(unique)
     return spark.table(unique)
@@ -219,13 +220,13 @@ class _Batch:
         def numbers(name):
             return columns[name][i].values.to_numpy(zero_copy_only=False)
 
-        self.words = columns["words"][i].values
+        self.words = columns["words"][i].values if "words" in columns else None
         self.sizes = numbers("sizes").astype(np.int64)
         self.held = numbers("held").astype(bool)
         self.docs = columns["doc_ids"][i].values
         self.forms = numbers("forms")
         self.ids = _numbers(columns["ids"][i].as_py(), "<i4")
-        self.totals = np.zeros(len(self.words), np.int64)
+        self.totals = np.zeros(len(self.forms), np.int64)
         places = _numbers(columns["totals_places"][i].as_py(), "<i4")
         self.totals[places] = _numbers(columns["totals"][i].as_py(), "<i8")
         self.classes = self.forms.astype(np.int32) + CLASSES
@@ -248,15 +249,16 @@ def _rows(batches, names):
             yield _Batch(columns, i)
 
 
-_TEXT = ["doc_ids", "held", "sizes", "ids", "words", "forms", "totals_places", "totals"]
+_TEXT = ["doc_ids", "held", "sizes", "ids", "forms", "totals_places", "totals"]
+_WORDED = [*_TEXT, "words"]
 _CLASSED = [*_TEXT, "classes_places", "classes"]
 
 
 def _context_batches(least: int):
     def run(batches):
-        for batch in _rows(batches, _TEXT):
+        for batch in _rows(batches, _WORDED):
             chosen = np.flatnonzero(batch.totals >= least)
-            slot = np.full(len(batch.words), -1, np.int32)
+            slot = np.full(len(batch.forms), -1, np.int32)
             slot[chosen] = np.arange(len(chosen))
             own = batch.with_ends(slot, -1)
             forms = batch.with_ends(batch.forms, FORMS)
@@ -450,7 +452,7 @@ def score(docs: DataFrame, least: int = MIN_COUNT, limit: int = BATCH) -> DataFr
     totals = words.select("batch", "pos", F.col("total").alias("value"))
     known = packed.join(_by_batch(totals, "totals"), "batch", "left")
 
-    contexts = known.select(*_TEXT).mapInArrow(
+    contexts = known.select(*_WORDED).mapInArrow(
         _context_batches(least), "word binary, vector binary"
     )
     contexts = contexts.repartition("word").sortWithinPartitions("word")
