@@ -1,7 +1,7 @@
 """Language-model scores from Brown classes: class transitions and word emissions.
 
-Words that occur ``MIN_COUNT`` times or more in the training documents are put in ``CLASSES``
-classes by exchange clustering: every word has counts of what stands left and right of it,
+Words that make up ``MIN_SHARE`` or more of the training tokens (and occur ``MIN_COUNT`` times)
+are put in ``CLASSES`` classes by exchange clustering: every word has counts of what stands left and right of it,
 and moves, round after round, to the class under whose context distribution its own contexts
 are likeliest, which raises the mutual information of classes and contexts. Contexts are
 counted by the neighbours' *forms* (the last letters or marks of a word). Rarer and unknown
@@ -29,6 +29,7 @@ unknown. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import uuid
 from zlib import crc32
 
@@ -42,7 +43,7 @@ from pairsieve.llm.common import table
 from pairsieve.session import shared_folder, stored_table
 
 CLASSES, FORMS = 64, 32
-MIN_COUNT = 50
+MIN_SHARE, MIN_COUNT = 2e-6, 5
 ROUNDS = 8
 DISCOUNT = 0.75
 PRIOR = 10.0  # weight of the class frequencies in a transition row
@@ -445,9 +446,13 @@ SCORES = (
 )
 
 
-def score(docs: DataFrame, least: int = MIN_COUNT, limit: int = BATCH) -> DataFrame:
+def score(docs: DataFrame, share: float = MIN_SHARE, limit: int = BATCH) -> DataFrame:
     """Every document's base score and class-model score."""
     packed = pack(docs, limit)
+    held = F.size(F.filter("held", lambda h: ~h)).cast("long")
+    inner = F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n)
+    n_docs, n_words = (n or 0 for n in packed.agg(F.sum(held), F.sum(inner)).first())
+    least = max(MIN_COUNT, math.ceil(share * (n_words + n_docs)))
     words = vocabulary(packed)
     totals = words.select("batch", "pos", F.col("total").alias("value"))
     known = packed.join(_by_batch(totals, "totals"), "batch", "left")
@@ -473,14 +478,10 @@ def score(docs: DataFrame, least: int = MIN_COUNT, limit: int = BATCH) -> DataFr
     distinct = 0
     for f, n, r in one.groupBy("form").agg(F.count_if(F.col("total") > 0), F.count_if(rare)).collect():
         types[f], distinct = r, distinct + n
-    held = F.size(F.filter("held", lambda h: ~h)).cast("long")
-    inner = F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n)
-    n_docs, n_words = packed.agg(F.sum(held), F.sum(inner)).first()
-    n_docs = n_docs or 0
     model = Model(
         pairs.reshape(_END + 1, _END + 1),
         types,
-        (n_words or 0) + n_docs,
+        n_words + n_docs,
         distinct + (n_docs > 0),
         n_docs,
     )
