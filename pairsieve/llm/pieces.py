@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -23,9 +24,9 @@ _WS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
 _EDGE = re.compile(f"^(?:[{_WS}]|$)|[{_WS}]$")
 # Bounds of the memo: longest text kept, most texts kept.
-_KEEP_CHARS, _KEEP = 48, 400_000
+_KEEP_CHARS, _KEEP = 48, 800_000
 # Characters encoded at a time.
-SLICE = 4_000_000
+SLICE = 8_000_000
 
 
 def byte_alphabet() -> list[str]:
@@ -95,20 +96,25 @@ class Encoder:
 
     def _piece(self, text: str) -> bytes:
         """Ids of one piece of the pattern."""
-        name = text.encode().decode("latin-1").translate(self._to_name)
-        ids = [t.id for t in self.model.tokenize(name)]
-        return np.array(ids, np.uint32).tobytes()
+        if text.isascii() and text[1:].isalpha():
+            name = "\u0120" + text[1:] if text[0] == " " else text
+        else:
+            name = text.encode().decode("latin-1").translate(self._to_name)
+        return array("I", [t.id for t in self.model.tokenize(name)]).tobytes()
 
     def _encode_new(self, texts: list[str]) -> None:
         """Enter texts into the memo. Letters after an optional space are one piece."""
         hard = []
         for text in texts:
             word = text[1:] if text[:1] == " " else text
-            if word.isalpha() and max(word) < "ɐ":
+            if word.isalpha() and (word.isascii() or max(word) < "ɐ"):
                 self._memo[text] = self._piece(text)
             elif word[-1:] in (".", ",") and word[:-1].isalpha() and max(word) < "ɐ":
                 head = self._memo.get(text[:-1]) or self._piece(text[:-1])
-                self._memo[text] = head + self._piece(word[-1])
+                mark = self._memo.get(word[-1])
+                if mark is None:
+                    mark = self._memo[word[-1]] = self._piece(word[-1])
+                self._memo[text] = head + mark
             else:
                 hard.append(text)
         for text, made in zip(hard, self._library_ids(hard)):
@@ -116,7 +122,7 @@ class Encoder:
 
     def _library_ids(self, texts: list[str]) -> list[bytes]:
         made = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, np.uint32).tobytes() for e in made]
+        return [array("I", e.ids).tobytes() for e in made]
 
     def _ids_of(self, texts: list[str]) -> list[bytes]:
         """Ids of chunks, through the memo unless they are long."""

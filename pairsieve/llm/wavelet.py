@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairsieve.llm.common import table
-from pairsieve.llm.pieces import encoder, slices
+from pairsieve.llm.pieces import SLICE, encoder, slices
 from pairsieve.session import shared_folder
 
 END = 0
@@ -201,7 +201,7 @@ def _write_batches(path: str, end: int, segment: int):
         docs, sizes, tokens = [], [], []
         number = first = held = 0
         for batch in batches:
-            for a, b in slices(batch.column("text"), segment * 2):
+            for a, b in slices(batch.column("text"), min(SLICE, segment * 8)):
                 ids, counts = tool.encode(batch.column("text").slice(a, b - a))
                 docs.append(batch.column("doc_id").slice(a, b - a).to_pylist())
                 tokens.append(np.insert(ids, np.cumsum(counts), end))
