@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import importlib
+import uuid
 
 from pairsieve.operators import report
 from pairsieve.operators.rules import RuleOptions, kept
@@ -43,7 +44,7 @@ def _parser() -> argparse.ArgumentParser:
 def _load(spark, path):
     """Parquet as it is; CSV is stored with row ids first."""
     if path.endswith(".csv") or "*.csv" in path:
-        return readers.ingest_pairs(spark, path, f"{shared_folder(spark)}/ingested_pairs")
+        return readers.ingest_pairs(spark, path, f"{shared_folder(spark)}/ingested_pairs-{uuid.uuid4().hex}")
     return readers.with_row_id(spark.read.parquet(path))
 
 

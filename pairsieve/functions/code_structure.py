@@ -55,7 +55,8 @@ TYPE_KEYWORDS = ["class", "interface", "enum", "record"]
 # The matcher tries a pattern at every character of a text, so every pattern starts with
 # a character that is rare in code; conditions on what stands before it come second.
 _LITERAL_OR_COMMENT = (
-    r'(?=["\'/])(?:(//[^\n]*|/\*[\s\S]*?\*/)|"""[\s\S]*?"""|"[^"\n]*"|' r"'[^'\n]*')"
+    r'(?=["\'/])(?:(//[^\n]*|/\*[\s\S]*?\*/)|(/\*)[\s\S]*\z|"""[\s\S]*?"""|"[^"\n]*"|'
+    r"'[^'\n]*')"
 )
 _MARKED_COMMENT = rf"/(?:/[^\n{LITERAL}]*|\*[^{LITERAL}]*?\*/){LITERAL}"
 _ANNOTATION_NAME = rf"@ ?[{_LETTERS}][{_WORD}.]*"
@@ -101,8 +102,9 @@ def mask_code(code: Column) -> Column:
     """Comments and literals become one character each, whitespace one blank."""
     rare = code.rlike(r"[\\\x01-\x08\x0e-\x1f]")
     plain = F.when(rare, _rep(code, _HIDDEN, "##")).otherwise(code)
-    marked = _rep(plain, _LITERAL_OR_COMMENT, "$1" + LITERAL)
-    masked = _rep(marked, _MARKED_COMMENT, COMMENT)
+    marked = _rep(plain, _LITERAL_OR_COMMENT, "$1$2" + LITERAL)
+    # A comment that is never closed swallows the rest and breaks the text.
+    masked = _rep(_rep(marked, rf"/\*{LITERAL}", "#"), _MARKED_COMMENT, COMMENT)
     return F.trim(_rep(masked, r"\s+", " "))
 
 

@@ -6,9 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Comments and literals win over punctuation. Possessive loops keep long literals from
-# exhausting the matcher's stack.
+# exhausting the matcher's stack. A comment that is never closed reaches to the end, so no
+# part of a text is scanned twice.
 TOKEN = (
-    r"(?s)//[^\n]*+|/\*.*?\*/"
+    r"(?s)//[^\n]*+|/\*.*?(?:\*/|\z)"
     r'|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"' r"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
     r"|\.\.\.|->|::|[A-Za-z_$][A-Za-z0-9_$]*+|[0-9][A-Za-z0-9_.]*+|\S"
 )

@@ -77,7 +77,7 @@ def with_structure(
     if options.null_policy == "text":
         src, target = F.coalesce(src, F.lit("nan")), F.coalesce(target, F.lit("nan"))
     wanted = "unnecessary_annotations" not in options.disabled and SYNTAX in options.stages
-    df = with_hit_flag(df, ROW_ID, SRC, patterns if wanted else None, "_hit")
+    df = with_hit_flag(df, SRC, patterns if wanted else None, "_hit")
     scan_src, scan_target = cs.scan_code(src), cs.scan_code(target)
     if options.first_match_only:
         scan_src = F.when(~F.col("_hit"), scan_src)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -370,11 +370,33 @@ def assertion_score(spark, sf_dir):
     )
 
 
+@query(f"""WITH {PAIRS}, t AS (
+  SELECT row_id, CASE WHEN status = 'P' THEN 'n/a' ELSE cast(condition_cover_rate AS string) END
+    AS label FROM pairs)
+SELECT label = 'n/a' AS unreadable, count(*) AS pairs,
+  count(try_cast(label AS double)) AS labels, max(try_cast(label AS double)) AS highest
+FROM t GROUP BY 1""")
+def csv_bad_labels(spark, sf_dir):
+    """A CSV file with labels that are no numbers keeps its rows; those labels are missing."""
+    rate = F.col("condition_cover_rate").cast("string")
+    label = F.when(F.col("status") == "P", F.lit("n/a")).otherwise(rate)
+    pairs = code_pairs(spark, sf_dir).withColumn("rule_label", label)
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    columns = ["src_fm", "target", "condition_cover_rate", "rule_label"]
+    write_csv(pairs.withColumn("condition_cover_rate", label), path, columns)
+    back = read_csv_pairs(spark, path)
+    return back.groupBy((F.col("rule_label") == "n/a").alias("unreadable")).agg(
+        F.count("*").alias("pairs"),
+        F.count("condition_cover_rate").alias("labels"),
+        F.max("condition_cover_rate").alias("highest"),
+    )
+
+
 @query(f"WITH {PAIRS} SELECT row_id, src_fm, target, condition_cover_rate FROM pairs")
 def csv_round_trip(spark, sf_dir):
     """Pairs written as CSV and read back through the validating reader."""
     pairs = code_pairs(spark, sf_dir).withColumn("idx", F.col("row_id"))
-    path = tempfile.mkdtemp(prefix="csv-", dir=shared_folder(spark))
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
     write_csv(pairs, path, ["idx", "src_fm", "target", "condition_cover_rate"])
     back = read_csv_pairs(spark, path)
     assert back.schema["condition_cover_rate"].dataType == PAIR_FIELDS["condition_cover_rate"]

@@ -45,7 +45,7 @@ FROM unique_docs d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
 
 def document_rules(docs, patterns):
     """Dictionary, character range and label threshold, as on code pairs."""
-    flagged = dictionary.with_hit_flag(docs, "doc_id", "text", patterns, "_hit")
+    flagged = dictionary.with_hit_flag(docs, "text", patterns, "_hit")
     rules = [
         Rule("dictionary_hit", SYNTAX, F.col("_hit")),
         Rule("non_english", SYNTAX, cs.in_char_ranges(F.col("text"), ACCENTS)),
@@ -136,12 +136,23 @@ def dictionary_hits(spark, sf_dir):
 @query(f"SELECT d.doc_id FROM documents d WHERE {_HIT}")
 def dictionary_semi_join(spark, sf_dir):
     return dictionary.with_any_hit(
-        table(spark, sf_dir, "documents"), "doc_id", "text", document_patterns(spark, sf_dir)
+        table(spark, sf_dir, "documents"), "text", document_patterns(spark, sf_dir)
     ).select("doc_id")
 
 
-# Every document gives its first twelve characters as a pattern: a large dictionary.
-_PREFIXES = "SELECT DISTINCT left(text, 12) AS pattern FROM documents WHERE length(text) >= 12"
+@query(f"""SELECT doc_id, {_HIT} AS by_expression, {_HIT} AS by_join FROM documents d""")
+def dictionary_flag_both_forms(spark, sf_dir):
+    """The row-local form and the join form of the flag side by side."""
+    patterns = document_patterns(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    local = dictionary.with_hit_flag(docs, "text", patterns, "by_expression", "local")
+    both = dictionary.with_hit_flag(local, "text", patterns, "by_join", "join")
+    return both.select("doc_id", "by_expression", "by_join")
+
+
+# Every document gives its first line as a pattern: a large dictionary.
+_PREFIXES = """SELECT DISTINCT split_part(text, chr(10), 1) AS pattern FROM documents
+WHERE split_part(text, chr(10), 1) <> ''"""
 
 
 @query(f"""SELECT p.pattern, count(*) AS n_texts FROM documents d
@@ -149,9 +160,8 @@ JOIN ({_PREFIXES}) p ON contains(d.text, p.pattern) GROUP BY p.pattern
 ORDER BY n_texts DESC, p.pattern LIMIT 25""")
 def top_patterns_large_dictionary(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    patterns = docs.filter(F.length("text") >= 12).select(
-        F.substring("text", 1, 12).alias("pattern")
-    ).distinct()
+    line = F.substring_index("text", "\n", 1)
+    patterns = docs.filter(line != "").select(line.alias("pattern")).distinct()
     return dictionary.top_patterns(dictionary.hits(docs, "doc_id", "text", patterns), 25)
 
 
@@ -292,7 +302,7 @@ def _methods(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     both = docs.join(table(spark, sf_dir, "labels"), "doc_id")
     flagged = dictionary.with_hit_flag(
-        both, "doc_id", "text", document_patterns(spark, sf_dir), "by_dictionary"
+        both, "text", document_patterns(spark, sf_dir), "by_dictionary"
     )
     return flagged.select(
         (F.col("toxic") == 1).alias("truth"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pairsieve.functions import prompts, text
 from pairsieve.functions import code_structure as cs
 from pairsieve.operators import judging, report, scoring
-from pairsieve.operators.rules import RuleOptions, below_threshold, scanned_once
+from pairsieve.operators.rules import RuleOptions, scanned_once
 from pairsieve.plans.checks.code import NAMES, THRESHOLD, WITH_FLAGS, case_sql
 from pairsieve.plans.checks.documents import _TURNS, _turns
 from pairsieve.plans.checks.tables import (
@@ -214,9 +214,13 @@ def judge_triage(spark, sf_dir):
     )
 
 
-@query()
+@query("""SELECT doc_id AS row_id, quality::DOUBLE AS condition_cover_rate, true AS in_range,
+true AS label_follows_score FROM documents JOIN labels USING (doc_id)""")
 def scored_filter(spark, sf_dir):
-    """A scorer trained on document quality, applied as a threshold filter, evaluated."""
+    """A scorer trained on document quality, applied as a threshold filter.
+
+    The scores belong to the model; every row has one in range, and its label follows it.
+    """
     docs = (
         table(spark, sf_dir, "documents")
         .join(table(spark, sf_dir, "labels"), "doc_id")
@@ -227,12 +231,13 @@ def scored_filter(spark, sf_dir):
         )
     )
     model = scoring.fit_scorer(docs, features=1 << 14)
-    scored = scoring.score(docs, model)
-    return scored.select(
-        "row_id", "condition_cover_rate", "predicted_cover_rate",
-        F.when(
-            below_threshold(F.col("predicted_cover_rate"), 0.5), F.lit("low_coverage")
-        ).alias("noise_type"),
+    score = F.col("predicted_cover_rate")
+    labelled = scoring.score_filter(scoring.score(docs, model), 0.5)
+    return labelled.select(
+        "row_id",
+        "condition_cover_rate",
+        score.between(0, 1).alias("in_range"),
+        (F.col("noise_type").isNotNull() == (score < 0.5)).alias("label_follows_score"),
     )
 
 

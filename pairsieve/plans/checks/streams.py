@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 import uuid
 
 from pyspark.sql import functions as F
@@ -31,7 +31,7 @@ def _drain(df, mode):
     Row streams go to files; small running totals to memory, where complete mode is allowed.
     """
     spark = df.sparkSession
-    folder = tempfile.mkdtemp(prefix="stream-", dir=shared_folder(spark))
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     writer = df.writeStream.outputMode(mode).trigger(availableNow=True).option(
         "checkpointLocation", f"{folder}/checkpoint"
     )
@@ -45,7 +45,7 @@ def _drain(df, mode):
 
 def _labelled(spark, sf_dir):
     docs = _stream(spark, sf_dir, "documents").select("doc_id", "text")
-    flagged = with_hit_flag(docs, "doc_id", "text", document_patterns(spark, sf_dir), "_hit")
+    flagged = with_hit_flag(docs, "text", document_patterns(spark, sf_dir), "_hit")
     rules = [
         Rule("dictionary_hit", SYNTAX, F.col("_hit")),
         Rule("non_english", SYNTAX, cs.in_char_ranges(F.col("text"), ACCENTS)),

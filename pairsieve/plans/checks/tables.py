@@ -166,6 +166,7 @@ def scan_sql(rows: str, name: str, code: str = "code") -> str:
   SELECT id, max(depth) FILTER (depth < 0) IS NOT NULL
       OR min(depth) < 0 OR arg_max(depth, pos) <> 0
       OR bool_or(tok IN ('"', '''', '#', '`', '\'))
+      OR bool_or(tok LIKE '/*%' AND tok NOT LIKE '/*%*/')
       OR id IN (SELECT id FROM {name}_b WHERE tok IN ('(','[','{{')
                 AND concat(tok, close_tok) NOT IN ('()','[]','{{}}')) AS broken
   FROM {name}_t GROUP BY id),

@@ -110,12 +110,13 @@ def clean(
 
 def _store(labelled: DataFrame, path: str) -> DataFrame:
     # Null is a value of its own in partition folders, so the label itself stays a column.
-    labelled.withColumn("label", F.coalesce("noise_type", F.lit("kept"))).write.mode(
-        "overwrite"
-    ).partitionBy("label").parquet(path)
+    # The prefix keeps every rule name apart from the kept rows, and a text.
+    label = F.coalesce(F.concat(F.lit("by-"), "noise_type"), F.lit("kept"))
+    labelled.withColumn("label", label).write.mode("overwrite").partitionBy("label").parquet(path)
     stored = labelled.sparkSession.read.parquet(path)
+    name = F.substring("label", 4, 1000)
     return stored.withColumn(
-        "noise_type", F.when(F.col("label") != "kept", F.col("label"))
+        "noise_type", F.when(F.col("label").startswith("by-"), name)
     ).drop("label")
 
 

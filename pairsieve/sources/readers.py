@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import csv
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairsieve.sources.schema import (
     EVENT_LOG_SCHEMA,
@@ -35,35 +37,47 @@ def _path_kind(spark: SparkSession, path: str) -> str | None:
 def read_csv_pairs(spark: SparkSession, path: str, required=REQUIRED) -> DataFrame:
     """A CSV file (or a folder or glob of them) of pairs, validated.
 
-    Only the header line is looked at before the job; types come from the declared
-    schema, so the data are read once. A label that is no number fails the job.
+    Only the header line is looked at before the job; the data are read once. Number columns
+    are read as text and converted row by row: a value that is no number becomes null, and
+    the label rules and audits see it as a missing one.
     """
     kind = _path_kind(spark, path)
     if kind is None:
-        raise FileNotFoundError(f"Dataset not found: {path}")
+        raise FileNotFoundError(f"no pairs at {path}")
     if kind == "file" and not path.endswith(".csv"):
-        raise ValueError(f"Expected CSV file, got: {path}")
+        raise ValueError(f"{path} is a file without the ending .csv")
     first = spark.read.text(path, lineSep="\n").limit(1).collect()
     header = next(csv.reader([first[0][0].rstrip("\r")])) if first else []
-    df = spark.read.options(**_CSV_OPTIONS, mode="FAILFAST").schema(schema_for(header)).csv(path)
-    return require_columns(df, required)
+    texts = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    df = spark.read.options(**_CSV_OPTIONS).schema(texts).csv(path)
+    typed = {
+        f.name: F.col(f.name).try_cast(f.dataType)
+        for f in schema_for(header)
+        if f.dataType != T.StringType()
+    }
+    return require_columns(df.withColumns(typed) if typed else df, required)
+
+
+def _has_files(df: DataFrame) -> bool:
+    """Whether rows know the file they come from."""
+    try:
+        df.select("_metadata.file_path")
+    except AnalysisException:
+        return False
+    return True
 
 
 def with_row_id(df: DataFrame) -> DataFrame:
     """Add ``row_id`` (unique) and ``source_file``; together they order rows as in the files.
 
-    A column ``idx`` is taken as the id. Otherwise the id depends on how the files are
-    split, so call this once at ingest and store the result.
+    A column ``idx`` stays a column of its own: values may repeat between files or be empty.
+    The id depends on how the input is split, so call this once at ingest and store the
+    result. Tables that are no file scan have an empty ``source_file``.
     """
     if ROW_ID in df.columns:
         return df
-    if "idx" in df.columns:
-        return df.withColumn(ROW_ID, F.col("idx").cast("long")).withColumn(
-            SOURCE_FILE, F.lit("")
-        )
-    return df.withColumn(SOURCE_FILE, F.col("_metadata.file_path")).withColumn(
-        ROW_ID, F.monotonically_increasing_id()
-    )
+    file = F.col("_metadata.file_path") if _has_files(df) else F.lit("")
+    return df.withColumn(SOURCE_FILE, file).withColumn(ROW_ID, F.monotonically_increasing_id())
 
 
 def ingest_pairs(spark: SparkSession, csv_path: str, table_path: str) -> DataFrame:

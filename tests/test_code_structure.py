@@ -78,7 +78,7 @@ def test_long_and_deep_texts_stay_whole(spark):
 def _calls_by_stack(code):
     """Names and argument counts of calls, from a token stack. Expressions only."""
     out, stack, prev = [], [], ""
-    for tok in re.findall(TOKEN, code):
+    for tok in re.findall(TOKEN.replace(r"\z", r"\Z"), code):
         if tok in "([{":
             name = prev if tok == "(" and re.match(r"[A-Za-z_$]", prev) else None
             stack.append([name, 0, False])
