@@ -288,7 +288,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text of every page."""
     narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     hosted = narrow.withColumn("host", host_of(F.col("url")))
-    joined = hosted.join(templates(narrow), "host", "left").drop("host")
+    # A merge join, as adaptive execution splits its partitions where a host has very many pages.
+    joined = hosted.join(templates(narrow).hint("merge"), "host", "left").drop("host")
     return joined.mapInArrow(_text_batches, "page_id long, url string, text string")
 
 
