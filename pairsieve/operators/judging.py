@@ -87,6 +87,13 @@ def ask(
     return routed.mapInPandas(batches, ANSWER_SCHEMA)
 
 
+def unanswered(answers: DataFrame) -> DataFrame:
+    """(question, asked, unanswered): shows a judge that fails."""
+    return answers.groupBy("question").agg(
+        F.count("*").alias("asked"), F.count_if(F.col("answer").isNull()).alias("unanswered")
+    )
+
+
 def final_answers(answers: DataFrame) -> DataFrame:
     """(row_id, syntax, relevance): verdicts, the reflection answer replacing the first."""
     def of(question):

@@ -1,8 +1,8 @@
 """Registered queries over the driver's tables, each with its SQL counterpart."""
 
-from pairsieve.plans.checks import code, documents, judge, measures, samples, streams
+from pairsieve.plans.checks import code, documents, files, judge, measures, samples, streams
 
-_PARTS = (documents, code, measures, samples, judge, streams)
+_PARTS = (documents, code, measures, samples, judge, files, streams)
 
 
 def all_queries():

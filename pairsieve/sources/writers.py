@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> str:
+    """White space at the ends of values is kept."""
     (df.select(*columns) if columns else df).write.mode("overwrite").csv(
-        path, header=True, quote='"', escape='"'
+        path, header=True, quote='"', escape='"',
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     )
     return path
 
