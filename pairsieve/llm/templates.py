@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairsieve.llm.common import table
+from pairsieve.session import stored_table
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -288,8 +289,10 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text of every page."""
     narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     hosted = narrow.withColumn("host", host_of(F.col("url")))
-    # A merge join, as adaptive execution splits its partitions where a host has very many pages.
-    joined = hosted.join(templates(narrow).hint("merge"), "host", "left").drop("host")
+    # A merge join of two shuffled inputs: adaptive execution splits its partitions where a host
+    # has very many pages. Stored, as it splits none whose stage also aggregates.
+    found = stored_table(templates(narrow), "templates")
+    joined = hosted.join(found.hint("merge"), "host", "left").drop("host")
     return joined.mapInArrow(_text_batches, "page_id long, url string, text string")
 
 
