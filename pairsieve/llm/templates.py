@@ -29,6 +29,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from pairsieve.llm.common import table
 from pairsieve.session import stored_table
@@ -67,12 +68,17 @@ _ASIDE_WORDS = {
 }
 
 
+def _hash(key: str) -> int:
+    value = xxh64_intdigest(key.encode("utf-8", "surrogatepass"))
+    return value - (1 << 64) if value >> 63 else value
+
+
 class Token:
-    """A tag or run of text of a page."""
+    """A tag or run of text of a page; ``key`` is the digest of its path and content."""
 
     __slots__ = ("kind", "name", "words", "text", "key")
 
-    def __init__(self, kind, name="", words=(), text="", key=""):
+    def __init__(self, kind, name="", words=(), text="", key=None):
         self.kind, self.name, self.words, self.text, self.key = kind, name, words, text, key
 
 
@@ -80,27 +86,38 @@ def tokenize(page: str) -> list[Token]:
     """Tags and text of a page, keyed by their path; comments and raw elements have no text.
 
     A closing tag closes the nearest open tag of its name; one without an open tag is dropped.
+    A path is carried as a digest of its last name and the path above, so that the work is linear
+    in the page, however deep its tags nest.
     """
     tokens, path, at = [], [], 0
+    above, is_open, blocks = [0], Counter(), []  # digest per open tag; names; tags not inline
+
+    def close(key=None):
+        name = path.pop()
+        above.pop()
+        is_open[name] -= 1
+        if name not in _INLINE:
+            blocks.pop()
+        tokens.append(Token("close", name, key=key))
+
     while at < len(page):
         found = _TOKEN.match(page, at)
         at = found.end()
         piece = found.group()
         if piece[0] != "<" or len(piece) == 1:
             text = html.unescape(piece)
-            where = "/".join(path)
-            tokens.append(Token("text", text=text, key=f"{where}#{' '.join(text.split())}"))
+            key = _hash(f"{above[-1]}#{' '.join(text.split())}")
+            tokens.append(Token("text", text=text, key=key))
             continue
         name = _NAME.match(piece)
         if not name:
             continue
         name = name.group(1).lower()
         if piece[1] == "/":
-            if name in path:
+            if is_open[name]:
                 while path[-1] != name:  # left open: closed with it
-                    tokens.append(Token("close", path.pop()))
-                tokens.append(Token("close", name, key="/".join(path) + "/"))
-                path.pop()
+                    close()
+                close(_hash(f"{above[-1]}/"))
             elif name == "p":
                 tokens.append(Token("break"))
             continue
@@ -108,36 +125,31 @@ def tokenize(page: str) -> list[Token]:
             end = re.compile(rf"</{name}[^>]*>?", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        if name == "p" and "p" in path and not any(
-            n not in _INLINE for n in path[len(path) - path[::-1].index("p") :]
-        ):
+        if name == "p" and blocks and blocks[-1] == "p":
             while path[-1] != "p":
-                tokens.append(Token("close", path.pop()))
-            tokens.append(Token("close", path.pop()))
+                close()
+            close()
         values = ["".join(v) for v in _ROLE.findall(piece)]
         words = tuple(w for v in values for w in re.split(r"[\s_-]+", v.lower()) if w)
-        key = "/".join(path) + f"/{name}." + ".".join(words)
+        key = _hash(f"{above[-1]}/{name}." + ".".join(words))
         if name in _VOID or piece.endswith("/>"):
             tokens.append(Token("break", name, key=key))
             continue
         tokens.append(Token("open", name, words, key=key))
+        above.append(_hash(f"{above[-1]}/{name}"))
         path.append(name)
+        is_open[name] += 1
+        if name not in _INLINE:
+            blocks.append(name)
     return tokens
 
 
-def _hash(key: str) -> int:
-    from xxhash import xxh64_intdigest
-
-    value = xxh64_intdigest(key.encode("utf-8", "surrogatepass"))
-    return value - (1 << 64) if value >> 63 else value
-
-
 def _occurrence_batches(batches):
     for batch in batches:
         pages, hosts, keys, counts = [], [], [], []
         rows = zip(*(batch.column(c).to_pylist() for c in ("page", "host", "html")))
         for page, host, text in rows:
-            found = Counter(_hash(t.key) for t in tokenize(text or "") if t.key)
+            found = Counter(t.key for t in tokenize(text or "") if t.key is not None)
             pages += [page] * len(found)
             hosts += [host] * len(found)
             keys += found.keys()
@@ -184,7 +196,7 @@ def valid_classes(tokens: list[Token], class_of: dict[int, int]) -> set[int]:
     stacks: dict[int, list[str]] = {}
     broken = set()
     for token in tokens:
-        own = class_of.get(_hash(token.key)) if token.key else None
+        own = class_of.get(token.key)
         if own is None:
             continue
         stack = stacks.setdefault(own, [])
@@ -208,37 +220,39 @@ def slots(tokens: list[Token], class_of: dict[int, int]):
     A block is a list of (text, is link); blocks are cut at every tag that is not inline.
     """
     valid = valid_classes(tokens, class_of)
-    stack: list[Token] = []
+    stack: list[tuple[bool, bool, bool]] = []  # main, aside, link per open tag
+    mains = asides = links = 0
     blocks: list[list] = [[]]
 
     def slot(fixed=False):
-        main = any(t.name in _MAIN for t in stack)
-        return blocks, main, any(map(_aside, stack)), fixed
+        return blocks, mains > 0, asides > 0, fixed
 
     for token in tokens:
-        fixed = bool(token.key) and class_of.get(_hash(token.key)) in valid
+        fixed = class_of.get(token.key) in valid
         if token.kind == "text":
             if fixed and token.text.strip():
                 yield slot()
-                blocks = [[(token.text, any(t.name == "a" for t in stack))]]
+                blocks = [[(token.text, links > 0)]]
                 yield slot(True)
                 blocks = [[]]
             else:
-                blocks[-1].append((token.text, any(t.name == "a" for t in stack)))
+                blocks[-1].append((token.text, links > 0))
             continue
         breaks = token.name not in _INLINE
         # The state of the stack belongs to the slot before the tag.
         if token.kind == "open":
-            if fixed and breaks or _aside(token) or token.name in _MAIN:
+            main, aside, link = token.name in _MAIN, _aside(token), token.name == "a"
+            if fixed and breaks or aside or main:
                 yield slot()
                 blocks = [[]]
-            stack.append(token)
+            stack.append((main, aside, link))
+            mains, asides, links = mains + main, asides + aside, links + link
         elif token.kind == "close":
-            if fixed and breaks or stack and (_aside(stack[-1]) or stack[-1].name in _MAIN):
+            main, aside, link = stack.pop()
+            if fixed and breaks or aside or main:
                 yield slot()
                 blocks = [[]]
-            if stack:
-                stack.pop()
+            mains, asides, links = mains - main, asides - aside, links - link
         if breaks:
             blocks.append([])
     yield slot()

@@ -333,6 +333,8 @@ def test_templates(spark):
     }
     assert templates.extract(frame).count() == len(pages)
     assert templates.extract(frame.limit(0)).count() == 0
+    deep = "".join(f"<{n}>word" for n in ["div", "i", "a"] * 50_000)  # no cost of depth times length
+    assert templates.main_text(f"<article>{deep}", {}).count("word") == 150_000
     small = templates.templates(frame).filter("host = 'h.org'").first()
     assert len(set(small.classes)) < len(small.tokens)
 
