@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pairsieve.functions.text import ratio
 from pairsieve.operators.quantiles import average_ranks, exact_quantiles
+from pairsieve.session import stored_table
 
 
 def _scores(tp: Column, fp: Column, fn: Column, tn: Column, digits: int | None = 4):
@@ -106,21 +107,22 @@ def regression(df: DataFrame, y: str, p: str, tiny: float = 0.0) -> DataFrame:
 def spearman(df: DataFrame, y: str, p: str) -> DataFrame:
     """Correlation of average ranks.
 
-    Rows are counted per (y, p) before the rank tables join in, so repeated pairs travel
-    once; a y value with very many different p is left to the adaptive skew join.
+    Rows are counted per (y, p) once and stored, so repeated pairs travel once and both rank
+    tables read the counts; a y value with very many different p is left to the adaptive
+    skew join.
     """
     known = _both_known(df, y, p).select(
         F.col(y).cast("double").alias("y"), F.col(p).cast("double").alias("p")
     )
-    pairs = known.groupBy("y", "p").agg(F.count("*").alias("w"))
-    rank_y = average_ranks(known, "y").select(
+    pairs = stored_table(known.groupBy("y", "p").agg(F.count("*").alias("w")), "rank-pairs")
+    rank_y = average_ranks(pairs, "y", "w").select(
         F.col("value").alias("y"), F.col("avg_rank").alias("ry")
     )
-    rank_p = average_ranks(known, "p").select(
+    rank_p = average_ranks(pairs, "p", "w").select(
         F.col("value").alias("p"), F.col("avg_rank").alias("rp")
     )
     # Ranks are centred first: sums of large ranks would lose digits.
-    n = known.agg(F.count("*")).scalar()
+    n = pairs.agg(F.sum("w")).scalar()
     ranked = pairs.join(rank_y, "y").join(rank_p, "p").select(
         "w",
         (F.col("ry") - (n + 1) / 2).alias("a"),

@@ -2,7 +2,8 @@
 
 Values are counted first (a value that fills a third of the table becomes one row), cut
 into ranges at approximate quantiles, and counted per range. A running total over the few
-ranges plus a running total inside each range gives every value its exact rank.
+ranges plus a running total inside each range gives every value its exact rank. The counts are
+stored once; their number sets how many ranges there are, so a range keeps its size as data grow.
 """
 
 from __future__ import annotations
@@ -12,14 +13,26 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairsieve.session import stored_table
+
+# Ranges at least, and distinct values in a range at most (about; one task sorts a range).
 RANGES = 128
+PER_RANGE = 10_000_000
+
 
+def range_count(values: int, per_range: int = PER_RANGE) -> int:
+    """A power of two, so many that no range has more than about ``per_range`` values."""
+    return max(RANGES, 1 << max(0, -(-values // per_range) - 1).bit_length())
 
-def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+
+def value_counts(
+    df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None
+) -> DataFrame:
+    """(by..., value, n): rows per value, or the sum of their ``weight``."""
     return (
         df.filter(F.col(value).isNotNull() & ~F.isnan(value))
         .groupBy(*by, F.col(value).cast("double").alias("value"))
-        .agg(F.count("*").alias("n"))
+        .agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     )
 
 
@@ -32,7 +45,9 @@ def with_ranges(df: DataFrame, value: str, ranges: int = RANGES) -> DataFrame:
     """
     cuts = df.agg(
         F.percentile_approx(
-            F.col(value).cast("double"), [i / ranges for i in range(1, ranges)], 10_000
+            F.col(value).cast("double"),
+            [i / ranges for i in range(1, ranges)],
+            max(10_000, 10 * ranges),
         )
     ).scalar()
     df = df.withColumn("_cuts", cuts).withColumn("_range", F.lit(0))
@@ -48,10 +63,15 @@ def with_ranges(df: DataFrame, value: str, ranges: int = RANGES) -> DataFrame:
 
 
 def cumulative_counts(
-    df: DataFrame, value: str, by: Sequence[str] = (), ranges: int = RANGES
+    df: DataFrame,
+    value: str,
+    by: Sequence[str] = (),
+    weight: str | None = None,
+    per_range: int = PER_RANGE,
 ) -> DataFrame:
     """(by..., value, n, before, total): occurrences of a value, rows below it, all rows."""
-    counts = value_counts(df, value, by)
+    counts = stored_table(value_counts(df, value, by, weight), "value-counts")
+    ranges = range_count(counts.count(), per_range)
     ranged = with_ranges(counts, "value", ranges)
     group = Window.partitionBy(*by)
     ahead = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -75,9 +95,9 @@ def cumulative_counts(
     )
 
 
-def average_ranks(df: DataFrame, value: str) -> DataFrame:
+def average_ranks(df: DataFrame, value: str, weight: str | None = None) -> DataFrame:
     """(value, n, avg_rank): ties share the mean of their ranks, counted from 1."""
-    return cumulative_counts(df, value).select(
+    return cumulative_counts(df, value, weight=weight).select(
         "value", "n", (F.col("before") + (F.col("n") + 1) / 2).alias("avg_rank")
     )
 

@@ -73,6 +73,16 @@ def test_quantiles_equal_numpy(numbers):
     assert abs(near - np.median(values)) < 0.2
 
 
+def test_ranges_grow_with_the_values(spark):
+    assert quantiles.range_count(0) == quantiles.range_count(10**9) == quantiles.RANGES
+    assert quantiles.range_count(10**11) == 16384
+    df = spark.range(1000).select((F.col("id") % 700).cast("double").alias("v"))
+    for per_range in (1, 10**6):
+        found = quantiles.cumulative_counts(df, "v", per_range=per_range).collect()
+        assert len(found) == 700 and {r.total for r in found} == {1000}
+        assert all(r.before == r.value + min(r.value, 300) for r in found)
+
+
 def test_average_ranks_equal_pandas(numbers):
     df, values = numbers
     got = {r.value: r.avg_rank for r in quantiles.average_ranks(df, "v").collect()}
