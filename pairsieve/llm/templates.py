@@ -2,20 +2,23 @@
 
 A page is a sequence of tokens: tags (with their class and id), and runs of text, each told apart
 by its path of enclosing tags. Over the pages of a host a token has an occurrence vector, its
-count on every page. Tokens with equal vectors form an equivalence class; classes seen on at
-least two pages and half of the host's pages are template. A vector is carried as the
-exclusive-or of hashes of (page, count), so classes come from two aggregations that combine
+count on every page. Tokens with equal vectors form an equivalence class; tags seen on at
+least two distinct pages and half of the host's are template, text needs ``LEAST_PAGES``. Pages of
+a host with equal tokens are one page: copies add no support. A vector is carried as the
+exclusive-or of hashes of (page, count), so classes come from aggregations that combine
 map-side, and no task holds a host, however many pages it has.
 
-On a page a class is valid if its opening and closing tags nest. The tokens of valid classes
-are the template; what stands between them are slots. A slot holds main text if its place in the
-nested template, and the tags around it, are those of an article and not of a menu, header,
-footer, advert, form or reader comments. On pages without an article element, runs of text
-that belong to the template and slots made of links are left out as well.
+On a page a class is valid if its tokens come in one order, repeated as often as they occur. The
+tokens of valid classes are the template; what stands between them are slots. Text of the template
+is left out, inside articles too: a block made of nothing else, and in other blocks the runs
+whose class has ``LARGE`` tokens (a lone common word between tags is no template). A slot
+holds main text if the tags around it are those of an article and not of a menu, header,
+footer, advert, form or reader comments. On pages without an article element, slots made of
+links are left out as well. A page's longest block never goes for its repetition alone.
 
 Defined results: null html is empty and has no text; a null or odd URL has the host of its text
-up to the first slash, or none. A host with one page has no template and its pages are judged
-by their tags alone. An unclosed tag, comment, script or attribute reaches to the end of the page, as in
+up to the first slash, or none. A host with fewer than ``LEAST_PAGES`` distinct pages has no
+template text and its pages are judged by their tags alone. An unclosed tag, comment, script or attribute reaches to the end of the page, as in
 browsers. Repeated rows give equal results. Other columns are not read. An empty table gives
 an empty result.
 """
@@ -26,10 +29,11 @@ import html
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh64_digest, xxh64_intdigest
 
 from pairsieve.llm.common import table
 from pairsieve.session import stored_table
@@ -66,6 +70,8 @@ _ASIDE_WORDS = {
     "sharing", "related", "recommended", "comment", "comments", "respond", "replies", "reply",
     "login", "signup", "form", "search", "widget", "pagination", "pager", "toolbar",
 }
+# Distinct pages on which text must stand, and tokens of a class, to be template.
+LEAST_PAGES, LARGE = 6, 3
 
 
 def _hash(key: str) -> int:
@@ -145,23 +151,27 @@ def tokenize(page: str) -> list[Token]:
 
 
 def _occurrence_batches(batches):
+    """A page's tokens (text, not tags, first ``n_texts``), their counts, and a digest of them."""
     for batch in batches:
-        pages, hosts, keys, counts = [], [], [], []
-        rows = zip(*(batch.column(c).to_pylist() for c in ("page", "host", "html")))
-        for page, host, text in rows:
-            found = Counter(t.key for t in tokenize(text or "") if t.key is not None)
-            pages += [page] * len(found)
-            hosts += [host] * len(found)
-            keys += found.keys()
-            counts += found.values()
+        digests, keys, counts, n_texts = [], [], [], []
+        for text in batch.column("html").to_pylist():
+            tokens = [t for t in tokenize(text or "") if t.key is not None]
+            texts = Counter(t.key for t in tokens if t.kind == "text" and t.text.strip())
+            tags = Counter(t.key for t in tokens if t.kind != "text")
+            order = np.array([t.key for t in tokens], "<i8").tobytes()
+            digests.append(int.from_bytes(xxh64_digest(order), "little", signed=True))
+            keys.append([*texts, *tags])
+            counts.append([*texts.values(), *tags.values()])
+            n_texts.append(len(texts))
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(pages, pa.int64()),
-                pa.array(hosts, pa.string()),
-                pa.array(keys, pa.int64()),
-                pa.array(counts, pa.int32()),
+                batch.column("host"),
+                pa.array(digests, pa.int64()),
+                pa.array(keys, pa.list_(pa.int64())),
+                pa.array(counts, pa.list_(pa.int32())),
+                pa.array(n_texts, pa.int32()),
             ],
-            names=["page", "host", "token", "n"],
+            names=["host", "page", "tokens", "counts", "n_texts"],
         )
 
 
@@ -174,15 +184,32 @@ def templates(pages: DataFrame, least_share: float = 0.5) -> DataFrame:
 
     Tokens on half of a host's pages are at most twice as many as a page has on average.
     """
-    numbered = pages.select(
-        F.monotonically_increasing_id().alias("page"), host_of(F.col("url")).alias("host"), "html"
+    narrow = pages.select(host_of(F.col("url")).alias("host"), "html")
+    found = narrow.mapInArrow(
+        _occurrence_batches,
+        "host string, page long, tokens array<long>, counts array<int>, n_texts int",
     )
-    found = numbered.mapInArrow(_occurrence_batches, "page long, host string, token long, n int")
-    vectors = found.groupBy("host", "token").agg(
+    # One row per distinct page: copies are dropped map-side first.
+    packed = F.struct("tokens", "counts", "n_texts")
+    distinct = found.groupBy("host", "page").agg(F.first(packed).alias("of"))
+    each = distinct.select(
+        "host",
+        "page",
+        F.col("of.n_texts").alias("n_texts"),
+        F.posexplode(F.arrays_zip("of.tokens", "of.counts")).alias("at", "t"),
+    ).select(
+        "host",
+        "page",
+        F.col("t.tokens").alias("token"),
+        F.col("t.counts").alias("n"),
+        (F.col("at") < F.col("n_texts")).alias("is_text"),
+    )
+    vectors = each.groupBy("host", "token", "is_text").agg(
         F.count("*").alias("support"), F.bit_xor(F.xxhash64("page", "n")).alias("vector")
     )
-    sizes = pages.groupBy(host_of(F.col("url")).alias("host")).agg(F.count("*").alias("pages"))
-    frequent = vectors.filter("support > 1").join(sizes, "host").filter(
+    sizes = distinct.groupBy("host").agg(F.count("*").alias("pages"))
+    least = F.when(F.col("is_text"), LEAST_PAGES).otherwise(2)
+    frequent = vectors.filter(F.col("support") >= least).join(sizes, "host").filter(
         F.col("support") >= least_share * F.col("pages")
     )
     return frequent.groupBy("host").agg(
@@ -192,98 +219,84 @@ def templates(pages: DataFrame, least_share: float = 0.5) -> DataFrame:
 
 
 def valid_classes(tokens: list[Token], class_of: dict[int, int]) -> set[int]:
-    """Classes whose opening and closing tags nest on this page."""
-    stacks: dict[int, list[str]] = {}
-    broken = set()
+    """Classes whose tokens come in the same order each time round on this page."""
+    keys: dict[int, list[int]] = {}
     for token in tokens:
         own = class_of.get(token.key)
-        if own is None:
-            continue
-        stack = stacks.setdefault(own, [])
-        if token.kind == "open":
-            stack.append(token.name)
-        elif token.kind == "close" and stack:
-            if stack[-1] == token.name:
-                stack.pop()
-            elif token.name in stack:
-                broken.add(own)
-    return set(stacks) - broken
+        if own is not None:
+            keys.setdefault(own, []).append(token.key)
+    valid = set()
+    for own, found in keys.items():
+        n = len(set(found))
+        if found[n:] == found[:-n]:
+            valid.add(own)
+    return valid
 
 
 def _aside(token: Token) -> bool:
     return token.name in _ASIDE_TAGS or not _ASIDE_WORDS.isdisjoint(token.words)
 
 
-def slots(tokens: list[Token], class_of: dict[int, int]):
-    """(blocks, in article, aside, template) per slot: text between template tokens.
+def parts(tokens: list[Token], class_of: dict[int, int]):
+    """(runs, in article, aside, new block) per stretch of text under the same tags.
 
-    A block is a list of (text, is link); blocks are cut at every tag that is not inline.
+    A run is (text, is link, class if template or None); blocks are cut at every tag that is
+    not inline.
     """
     valid = valid_classes(tokens, class_of)
     stack: list[tuple[bool, bool, bool]] = []  # main, aside, link per open tag
     mains = asides = links = 0
-    blocks: list[list] = [[]]
-
-    def slot(fixed=False):
-        return blocks, mains > 0, asides > 0, fixed
-
+    runs, new = [], True
     for token in tokens:
-        fixed = class_of.get(token.key) in valid
         if token.kind == "text":
-            if fixed and token.text.strip():
-                yield slot()
-                blocks = [[(token.text, links > 0)]]
-                yield slot(True)
-                blocks = [[]]
-            else:
-                blocks[-1].append((token.text, links > 0))
+            own = class_of.get(token.key)
+            fixed = own in valid and bool(token.text.strip())
+            runs.append((token.text, links > 0, own if fixed else None))
             continue
         breaks = token.name not in _INLINE
-        # The state of the stack belongs to the slot before the tag.
+        main = aside = False
         if token.kind == "open":
             main, aside, link = token.name in _MAIN, _aside(token), token.name == "a"
-            if fixed and breaks or aside or main:
-                yield slot()
-                blocks = [[]]
+        elif token.kind == "close":
+            main, aside, link = stack.pop()
+        # The state of the stack belongs to the text before the tag.
+        if breaks or main or aside:
+            yield runs, mains > 0, asides > 0, new
+            runs, new = [], breaks
+        if token.kind == "open":
             stack.append((main, aside, link))
             mains, asides, links = mains + main, asides + aside, links + link
         elif token.kind == "close":
-            main, aside, link = stack.pop()
-            if fixed and breaks or aside or main:
-                yield slot()
-                blocks = [[]]
             mains, asides, links = mains - main, asides - aside, links - link
-        if breaks:
-            blocks.append([])
-    yield slot()
+    yield runs, mains > 0, asides > 0, new
 
 
 def main_text(page: str, class_of: dict[int, int]) -> str:
     """The article's blocks, one per line."""
     tokens = tokenize(page)
     has_article = any(t.kind == "open" and t.name in _MAIN for t in tokens)
+    sizes = Counter(class_of.values())
+    blocks: list[list] = [[]]
+    for runs, main, aside, new in parts(tokens, class_of):
+        wanted = not aside and (main or not has_article)
+        linked = sum(len(t.strip()) for t, link, _ in runs if link)
+        if not has_article and linked * 2 > sum(len(t.strip()) for t, _, _ in runs):
+            runs = []
+        if new or not wanted:
+            blocks.append([])
+        if wanted:
+            blocks[-1] += runs
+    whole = [" ".join("".join(t for t, _, _ in b).split()) for b in blocks]
+    longest = max(range(len(blocks)), key=lambda i: len(whole[i]))
     lines = []
-    pending: list = []
-
-    def flush():
-        text = " ".join("".join(t for t, _ in pending).split())
+    for i, block in enumerate(blocks):
+        text = whole[i]
+        if i != longest and any(own is not None for _, _, own in block):
+            mixed = any(own is None and t.strip() for t, _, own in block)
+            kept = [t for t, _, own in block if own is None or mixed and sizes[own] < LARGE]
+            text = " ".join("".join(kept).split())
         if text:
             lines.append(text)
-        pending.clear()
-
-    for blocks, main, aside, fixed in slots(tokens, class_of):
-        wanted = not aside and (main if has_article else not fixed)
-        for i, block in enumerate(blocks):
-            if i:
-                flush()
-            linked = sum(len(t.strip()) for t, link in block if link)
-            if not has_article and linked * 2 > sum(len(t.strip()) for t, _ in block):
-                continue
-            if wanted:
-                pending += block
-        if not wanted:
-            flush()
-    flush()
     return "\n".join(lines)
 
 

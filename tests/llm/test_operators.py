@@ -339,6 +339,16 @@ def test_templates(spark):
     assert len(set(small.classes)) < len(small.tokens)
 
 
+def test_template_text_in_articles(spark):
+    page = "<body><article><p>%s</p><p class='x'>%s</p><p>Read more with us</p></article></body>"
+    texts = [(f"Story {i} is told at some length here", f"By <b>author {i}</b>") for i in range(8)]
+    rows = [(i, "http://t.org/", page % t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in templates.extract(frame).collect()}
+    assert got == {i: f"{a}\nauthor {i}" for i, (a, _) in enumerate(texts)}
+    assert "Read more" in templates.main_text(rows[0][2], {})
+
+
 def test_pii(spark, docs, rows, empty):
     texts = [
         "a@b.c_d@e.f x@y.z.", "1.2.3.4.5 300.1.1.1 01.002.3.255", "4111 1111 1111 1111, 4111-1111-1111-1112",
