@@ -349,6 +349,24 @@ def test_template_text_in_articles(spark):
     assert "Read more" in templates.main_text(rows[0][2], {})
 
 
+def test_copies_are_no_template(spark):
+    page = "<body><nav>menu</nav><div><p>a first passage, %s</p><p>and a second</p></div><footer>f</footer></body>"
+    want = "a first passage, %s\nand a second"
+    doubled = [(0, "http://one.org/", page % 1), (1, "http://one.org/", page % 1)]
+    few = [(2 + i, "http://few.org/", page % (i // 2)) for i in range(4)]
+    half = [(10 + i, "http://half.org/", page % (0 if i < 10 else i)) for i in range(14)]
+    text = {i: want % (1 if i < 2 else (i - 2) // 2) for i in range(6)}
+    frame = spark.createDataFrame(doubled + few + half, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in templates.extract(frame).collect()}
+    assert {i: got[i] for i in text} == text
+    assert all("a first passage" in got[10 + i] for i in range(14))
+    # Repeated everywhere, but the longest block of its page.
+    long = "<body><article><p>The longest block of the page</p><p>%s</p></article></body>"
+    rows = [(i, "http://l.org/", long % i) for i in range(9)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert all("longest" in r.text for r in templates.extract(frame).collect())
+
+
 def test_pii(spark, docs, rows, empty):
     texts = [
         "a@b.c_d@e.f x@y.z.", "1.2.3.4.5 300.1.1.1 01.002.3.255", "4111 1111 1111 1111, 4111-1111-1111-1112",
