@@ -6,13 +6,17 @@ with a written-out "at", groups of digits with any separators, phone-like groups
 plus. Every candidate and base span gets features of its format (digits, separators, checks,
 length) and context (neighbouring characters, cue words).
 
-The trees learn which formats and contexts make a base span among all candidates of all
-documents. All features are small codes, so the training set is a table of distinct feature
+The trees learn which formats and contexts make a span of a kind, over all documents. What
+tells a base pattern from a generator ("@", "+", the kind of separators) is no feature. Base spans
+are positives of their kind. Negatives are matches that fail the kind's check (numbers, or how an
+address is spelled). Candidates that pass it and are no base spans have no label: they are
+not trained on, and their score decides. All features are small codes, so the training set is a table of distinct feature
 rows with two counts and two folds; its size is bounded by the product of the code ranges and
 does not grow with the corpus. It is all that reaches the driver. Trees become one column
-expression. For each generator the threshold is the smallest score at which the candidates
-above it in the held-out fold are base spans with ``PRECISION``. Candidates over their
-threshold that touch no base span, best first, are added; base spans always stay.
+expression. For each kind the threshold is the smallest score from which on the labelled
+matches in the held-out fold are base spans with ``PRECISION``, half way to the next score
+below. A kind without base spans adds none. Unlabelled candidates over their
+threshold that touch no base span, longest and then best first, are added; base spans always stay.
 
 Patterns start at the first character of a run or behind the previous match and repeat
 possessively, which gives the same matches as the plain patterns in time linear in the text.
@@ -61,8 +65,7 @@ CUES = "(?i)(?:mail|phone|tel|fax|call|card|visa|account|konto|addr|\\bip\\b|hos
 PRECISION = 0.99
 ROUNDS, RATE = 40, 0.3
 FEATURES = {
-    "source": 8, "digits": 8, "check": 3, "separator": 5, "plus": 2, "cue": 2, "left": 4,
-    "right": 4, "length": 5,
+    "kind": 4, "digits": 8, "check": 2, "cue": 2, "left": 4, "right": 4, "length": 5,
 }
 
 
@@ -78,7 +81,7 @@ def _matches(text: Column, source: str, pattern: str, needs: str | None) -> Colu
             F.length(F.get(gaps, i)).alias("gap"),
             value.alias("value"),
             F.right(F.get(gaps, i), F.lit(24)).alias("before"),
-            F.left(F.get(gaps, i + 1), F.lit(1)).alias("after"),
+            F.left(F.get(gaps, i + 1), F.lit(2)).alias("after"),
         ),
     )
     possible = text.contains(needs) if needs else text.rlike("[0-9]")
@@ -155,21 +158,30 @@ def _spans(matches: DataFrame) -> DataFrame:
             .otherwise(3)
         )
 
-    names = [*BASE, *GENERATORS]
-    check = F.when(n.between(12, 19), luhn(F.col("figures")).cast("int")).otherwise(2)
-    check = F.when(kind == "ip", _octets("value").cast("int")).otherwise(check)
-    marks = F.regexp_replace("value", "[0-9A-Za-z]", "")
+    cue = F.col("before").rlike(CUES)
+    value = F.col("value")
+    # A written-out "at" or a list of numbers alone is ordinary text.
+    spoken = value.rlike(r"(?i)(\(|\[)(at|dot)(\)|\])") | cue & ~value.rlike(r"\. | \.")
+    check = (
+        F.when(F.col("source") == "spoken_email", spoken & value.rlike("[A-Za-z]{2,}$"))
+        .when(F.col("source") == "spaced_ip", _octets("value") & (cue | ~value.contains(",")))
+        .when(F.col("source") == "digits", n.between(12, 19) & luhn(F.col("figures")))
+        .when(
+            F.col("source") == "local_phone",
+            n.between(9, 15)
+            & ~F.coalesce("after", F.lit("")).rlike(r"^[\x20.-][0-9]")  # part of a longer number
+            & (cue | value.rlike(r"^(\(|[0-9]+-[0-9]+-|[0-9]+\.[0-9]+\.)")),
+        )
+        .otherwise(good)
+    )
     codes = {
-        "source": F.array_position(F.array(*map(F.lit, names)), F.col("source")) - 1,
+        "kind": F.array_position(F.array(*map(F.lit, KINDS)), kind) - 1,
         "digits": F.when(n == 0, 0).when(n < 9, 1).when(n < 12, 2).when(n < 13, 3)
         .when(n < 16, 4).when(n < 17, 5).when(n < 20, 6).otherwise(7),
-        "check": check,
-        "separator": F.when(marks == "", 0).when(marks.rlike("^ +$"), 1)
-        .when(marks.rlike("^-+$"), 2).when(marks.rlike(r"^\.+$"), 3).otherwise(4),
-        "plus": F.col("value").startswith("+").cast("int"),
-        "cue": F.col("before").rlike(CUES).cast("int"),
+        "check": check.cast("int"),
+        "cue": cue.cast("int"),
         "left": beside(F.right("before", F.lit(1))),
-        "right": beside(F.coalesce("after", F.lit(""))),
+        "right": beside(F.left(F.coalesce("after", F.lit("")), F.lit(1))),
         "length": F.when(F.col("size") < 8, 0).when(F.col("size") < 13, 1)
         .when(F.col("size") < 17, 2).when(F.col("size") < 24, 3).otherwise(4),
     }
@@ -185,9 +197,14 @@ def _spans(matches: DataFrame) -> DataFrame:
 
 
 def _labelled(spans: DataFrame) -> DataFrame:
-    """Spans with ``label``: their place and kind are a base span's; and a fold by row."""
+    """Spans with ``label`` and a fold by row.
+
+    The label is true where place and kind are a base span's, false where the check fails, and
+    null for other candidates.
+    """
     same = Window.partitionBy("row", "kind", "start", "end")
-    return spans.withColumn("label", F.max("base").over(same)).withColumn(
+    label = F.when(F.max("base").over(same), True).when(F.col("f_check") == 0, False)
+    return spans.withColumn("label", label).withColumn(
         "fold", F.pmod(F.xxhash64("row"), F.lit(5)) == 0
     )
 
@@ -240,7 +257,7 @@ def _value(tree, row) -> float:
 
 def boost(rows: list[dict], rounds: int = ROUNDS) -> list:
     """Trees for the log-odds of a label; rows have codes and counts ``pos`` and ``neg``."""
-    names = [f for f in FEATURES if f != "source"] + ["source"]
+    names = list(FEATURES)
     scores = [0.0] * len(rows)
     trees = []
     for _ in range(rounds):
@@ -256,18 +273,24 @@ def boost(rows: list[dict], rounds: int = ROUNDS) -> list:
 
 
 def thresholds(rows: list[dict], trees, precision: float = PRECISION) -> dict[int, float]:
-    """For each source the smallest score from which on held-out precision is met."""
+    """For each kind the smallest score from which on held-out precision is met.
+
+    A kind without positives in the held-out fold is judged by the other one.
+    """
     found = {}
-    for source in {r["source"] for r in rows}:
-        own = [(sum(_value(t, r) for t in trees), r) for r in rows if r["source"] == source]
+    for kind in {r["kind"] for r in rows}:
+        own = [(sum(_value(t, r) for t in trees), r) for r in rows if r["kind"] == kind]
         own.sort(key=lambda x: -x[0])
+        held = "_held" if any(r["pos_held"] for _, r in own) else ""
         pos = neg = 0
-        found[source] = math.inf
+        found[kind] = math.inf
         for i, (score, row) in enumerate(own):
-            pos, neg = pos + row["pos_held"], neg + row["neg_held"]
-            last = i + 1 == len(own) or own[i + 1][0] < score
-            if last and pos and pos >= precision * (pos + neg):
-                found[source] = score
+            pos, neg = pos + row[f"pos{held}"], neg + row[f"neg{held}"]
+            below = own[i + 1][0] if i + 1 < len(own) else -math.inf
+            if below < score and pos and pos >= precision * (pos + neg):
+                # Without a score below, the log-odds of the precision asked for.
+                sure = min(score, math.log(precision / (1 - precision)))
+                found[kind] = sure if below == -math.inf else (score + below) / 2
     return found
 
 
@@ -285,6 +308,7 @@ def train(labelled: DataFrame):
     counts = [F.count_if(F.expr(f"{v} and not fold")).alias(k) for k, v in yes.items()]
     counts += [F.count_if(F.expr(f"{v} and fold")).alias(f"{k}_held") for k, v in yes.items()]
     # At most the product of the code ranges, however large the corpus.
+    labelled = labelled.filter("label is not null")
     rows = labelled.groupBy(*codes).agg(*counts).orderBy(*FEATURES).collect()
     rows = [r.asDict() for r in rows]
     trees = boost(rows) if rows else []
@@ -297,8 +321,8 @@ def added_spans(labelled: DataFrame, trees, limits: dict[int, float]) -> DataFra
         return labelled.filter("false").select("row", "kind", "start", "end")
     score = F.expr(" + ".join(_tree_column(t) for t in trees))
     limit = F.lit(math.inf)
-    for source, value in limits.items():
-        limit = F.when(F.col("f_source") == source, F.lit(value)).otherwise(limit)
+    for kind, value in limits.items():
+        limit = F.when(F.col("f_kind") == kind, F.lit(value)).otherwise(limit)
     before = Window.partitionBy("row").orderBy("start", "end").rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -311,18 +335,20 @@ def added_spans(labelled: DataFrame, trees, limits: dict[int, float]) -> DataFra
         labelled.withColumn("score", score)
         .withColumn("base_end", base_end.over(before))
         .withColumn("base_start", base_start.over(after))
-        .filter(~F.col("label") & (F.col("score") >= limit))
+        .filter(F.col("label").isNull() & (F.col("score") >= limit))
         .filter(F.coalesce(F.col("base_end") <= F.col("start"), F.lit(True)))
         .filter(F.coalesce(F.col("base_start") >= F.col("end"), F.lit(True)))
         .dropDuplicates(["row", "kind", "start", "end"])
     )
-    # Overlapping candidates form runs; the best of a run is taken.
+    # Overlapping candidates form runs; the longest of a run is taken, and of those the best.
     reach = F.max("end").over(before)
     run = Window.partitionBy("row").orderBy("start", "end")
     runs = free.withColumn(
         "new", F.coalesce((reach <= F.col("start")).cast("int"), F.lit(1))
     ).withColumn("run", F.sum("new").over(run))
-    best = Window.partitionBy("row", "run").orderBy(F.desc("score"), "start", "end", "kind")
+    best = Window.partitionBy("row", "run").orderBy(
+        F.desc(F.col("end") - F.col("start")), F.desc("score"), "start", "end", "kind"
+    )
     return (
         runs.withColumn("place", F.row_number().over(best))
         .filter("place = 1")

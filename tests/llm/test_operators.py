@@ -411,6 +411,26 @@ def test_pii(spark, docs, rows, empty):
     assert pii.find_spans(docs)[0].count() == many
 
 
+def test_generators_add_spans(spark):
+    base = "mail ann.b%d@mail.org or call +1 (212) 555-0%d, ip 10.0.%d.7, card 4111 1111 1111 1111."
+    plain = "We looked at home. Then 10, 20, 30, 40 and 1200 3400 of 2024 pages; 1234 5678 9012 3456."
+    planted = [
+        "write jane (at) mail (dot) org now", "call (212) 555-0188 now", "ip 10 . 20 . 30 . 41 now",
+        "card 4111.1111.1111.1111 now",
+    ]
+    texts = [base % (i, 100 + i, i) for i in range(60)] + [plain] * 60 + planted
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids, found = pii.find_spans(frame)
+    added = {
+        (r.doc_id, r.kind, texts[r.doc_id][r.start : r.end])
+        for r in ids.join(found.filter("not base"), "row").collect()
+    }
+    assert added == {
+        (120, "email", "jane (at) mail (dot) org"), (121, "phone", "(212) 555-0188"),
+        (122, "ip", "10 . 20 . 30 . 41"), (123, "card", "4111.1111.1111.1111"),
+    }
+
+
 def test_mixing(docs, rows, empty):
     cells = mixing.probabilities(docs).collect()
     total = sum(c.tokens for c in cells)
