@@ -20,6 +20,9 @@ from pairsieve.llm.quality import keep_good
 from pairsieve.llm.simhash import keep_one_of_each
 from pairsieve.session import stored_table
 
+# Share of the tokens that mixing samples.
+MIX_SHARE = 0.82
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs, table(spark, sf_dir, "labels"))
@@ -34,7 +37,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sample_documents(docs)
+    return sample_documents(docs, share=MIX_SHARE)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,14 +2,18 @@
 
 Documents fall into cells of source, language and topic; a cell's mass is its tokens. Raking
 scales the cells' masses until their sums over each of the three marginals meet that marginal's
-target. The quotient of raked and actual mass is a cell's weight, and a document's sampling
-probability is its cell's weight divided by the largest one: the largest sample that meets
-the marginals in expectation, with no probability cut off at one. A document is taken if a number
+target. The quotient of raked and actual mass is a cell's weight. Given the ``share`` of all tokens
+to sample, a document's probability is min(1, c * weight), with c such that the expected tokens are
+that share: a rare cell with a large weight is kept whole (and stays below its target) and takes
+nothing from the others. Without ``share`` it is the weight divided by the largest one, the
+largest sample that meets the marginals in expectation; one rare value makes that sample
+small. A document is taken if a number
 made from the digest of its id is below its probability, so any rerun and any engine takes the
 same documents.
 
 Targets are the marginals' own shares to a power below one, renormalised, which moves weight
-from dominant values to rare ones. Cells are few against documents; they are counted
+from dominant values to rare ones, or weights the caller gives by value; values without one keep
+their share. Cells are few against documents; they are counted
 map-side, so a source with a third of all rows is one partial row per task, and raked on the
 cluster. The way back to the documents broadcasts the cells only after counting that they are
 under ``BROADCAST_CELLS``; beyond that they are joined by shuffle, with equal results.
@@ -23,6 +27,8 @@ result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,9 +63,15 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def rake(cells: DataFrame, powers=None, rounds: int = ROUNDS) -> DataFrame:
-    """Add ``weight`` to (source, lang, topic, tokens): raked share over actual share."""
+def rake(cells: DataFrame, powers=None, rounds: int = ROUNDS, goals=None) -> DataFrame:
+    """Add ``weight`` to (source, lang, topic, tokens): raked share over actual share.
+
+    ``goals``: {marginal: {value: weight above zero}}, instead of powers of the shares.
+    """
     powers = powers or POWERS
+    goals = goals or {}
+    if set(goals) - set(powers) or any(w <= 0 for g in goals.values() for w in g.values()):
+        raise ValueError("goals need known marginals and weights above zero")
     tokens = F.col("tokens").cast("double")
     every = Window.partitionBy()
     total = cells.agg(F.sum("tokens").cast("double").alias("total"))
@@ -68,7 +80,12 @@ def rake(cells: DataFrame, powers=None, rounds: int = ROUNDS) -> DataFrame:
     targets = shares
     for name, power in powers.items():
         margin = shares.groupBy(name).agg(F.sum("share").alias("s"))
-        raised = margin.select(name, F.pow("s", F.lit(power)).alias(f"{name}_target"))
+        goal = F.pow("s", F.lit(power))
+        if given := goals.get(name):
+            goal = F.col("s")
+            for value, weight in given.items():
+                goal = F.when(F.col(name) == value, F.lit(float(weight))).otherwise(goal)
+        raised = margin.select(name, goal.alias(f"{name}_target"))
         norm = raised.agg(F.sum(f"{name}_target").alias("norm"))
         scaled = raised.join(F.broadcast(norm)).select(
             name, (F.col(f"{name}_target") / F.col("norm")).alias(f"{name}_target")
@@ -90,29 +107,57 @@ def uniform(doc_id: Column) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
-def probabilities(docs: DataFrame, powers=None, rounds: int = ROUNDS) -> DataFrame:
+def _factor(weighed: DataFrame, share: float) -> float:
+    """c for which min(1, c * weight) samples ``share`` of the tokens in expectation.
+
+    A step adds the cells that came to one; each fetches one row of sums.
+    """
+    c, n_whole = 0.0, -1
+    while True:
+        whole = F.col("weight") * F.lit(c) >= 1
+        total, kept, rest, n = weighed.filter("weight > 0").agg(
+            F.sum("tokens"),
+            F.sum(F.when(whole, F.col("tokens")).otherwise(0)),
+            F.sum(F.when(whole, 0.0).otherwise(F.col("tokens") * F.col("weight"))),
+            F.count_if(whole),
+        ).first()
+        if not rest or n == n_whole:
+            return c if rest else math.inf
+        c, n_whole = max(c, (share * total - kept) / rest), n
+
+
+def probabilities(
+    docs: DataFrame, powers=None, rounds: int = ROUNDS, goals=None, share: float | None = None
+) -> DataFrame:
     """source, lang, topic, tokens, weight, probability of every cell."""
+    if share is not None and not 0 < share <= 1:
+        raise ValueError("share is above zero and at most one")
     keys = cell_columns(docs)
     tokens = docs.select(*[c.alias(n) for n, c in keys.items()], n_words(F.col("text")).alias("n"))
     cells = tokens.groupBy(*keys).agg(F.sum("n").alias("tokens"))
     cells = stored_table(cells, "cells")
-    raked = rake(cells, powers, rounds).drop("tokens")
-    top = raked.agg(F.max("weight").alias("top"))
-    weighed = cells.join(raked, list(keys), "left").join(F.broadcast(top))  # one row
+    raked = rake(cells, powers, rounds, goals).drop("tokens")
+    if share is None:
+        top = raked.agg(F.max("weight").alias("top"))
+        weighed = cells.join(raked, list(keys), "left").join(F.broadcast(top))  # one row
+        chance = F.col("weight") / F.col("top")
+    else:
+        weighed = stored_table(cells.join(raked, list(keys), "left"), "weights")
+        chance = F.when(
+            F.col("weight").isNotNull(),
+            F.least(F.lit(1.0), F.col("weight") * F.lit(_factor(weighed, share))),
+        )
     return stored_table(
         weighed.select(
-            *keys,
-            "tokens",
-            "weight",
-            F.coalesce(F.col("weight") / F.col("top"), F.lit(1.0)).alias("probability"),
+            *keys, "tokens", "weight", F.coalesce(chance, F.lit(1.0)).alias("probability")
         ),
         "probabilities",
     )
 
 
-def _with_cell(docs: DataFrame, powers=None, rounds: int = ROUNDS) -> tuple[DataFrame, str]:
+def _with_cell(docs: DataFrame, *options, **named) -> tuple[DataFrame, str]:
     """The table with a struct column holding its cell's row, and that column's name."""
-    cells = probabilities(docs, powers, rounds)
+    cells = probabilities(docs, *options, **named)
     cell = fresh(docs, "mixing_cell")
     packed = cells.select(F.struct(*cells.columns).alias(cell))
     if cells.count() <= BROADCAST_CELLS:
@@ -122,9 +167,11 @@ def _with_cell(docs: DataFrame, powers=None, rounds: int = ROUNDS) -> tuple[Data
     return docs.join(packed, match), cell
 
 
-def sample_documents(docs: DataFrame, powers=None, rounds: int = ROUNDS) -> DataFrame:
+def sample_documents(
+    docs: DataFrame, powers=None, rounds: int = ROUNDS, goals=None, share: float | None = None
+) -> DataFrame:
     """The sampled rows, columns unchanged."""
-    joined, cell = _with_cell(docs, powers, rounds)
+    joined, cell = _with_cell(docs, powers, rounds, goals, share)
     taken = uniform(F.col("doc_id")) < F.col(cell)["probability"]
     return joined.filter(taken).select(*docs.columns)
 

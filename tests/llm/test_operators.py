@@ -447,3 +447,18 @@ def test_mixing(docs, rows, empty):
     left = mixing.sample_documents(docs)
     assert left.columns == docs.columns and 0 < left.count() <= docs.count()
     assert mixing.sample_documents(empty).count() == 0
+
+
+def test_mixing_keeps_its_share(spark):
+    texts = [(i, "plain words " * 25, "en", f"s{i % 3}") for i in range(3000)]
+    stray = [(9000, "one stray document", "en", None)]
+    frame = spark.createDataFrame(texts + stray, "doc_id long, text string, lang string, source string")
+    cells = mixing.probabilities(frame, share=0.8).collect()
+    total = sum(c.tokens for c in cells)
+    assert math.isclose(sum(c.tokens * c.probability for c in cells), 0.8 * total, rel_tol=1e-9)
+    assert abs(mixing.sample_documents(frame, share=0.8).count() - 2400) < 120
+    goals = {"source": {"s0": 2.0, "s1": 1.0, "s2": 1.0}}
+    by = {c.source: c for c in mixing.probabilities(frame, goals=goals, share=0.5).collect()}
+    assert math.isclose(by["s0"].probability, 2 * by["s1"].probability, rel_tol=1e-6)
+    for c in mixing.probabilities(frame, share=1.0).collect():
+        assert math.isclose(c.probability, 1.0)
