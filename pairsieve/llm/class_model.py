@@ -1,6 +1,6 @@
 """Language-model scores from Brown classes: class transitions and word emissions.
 
-Words that make up ``MIN_SHARE`` or more of the training tokens (and occur ``MIN_COUNT`` times)
+Words that occur ``MIN_COUNT`` times or more in the training texts, however large these are,
 are put in ``CLASSES`` classes by exchange clustering: every word has counts of what stands left and right of it,
 and moves, round after round, to the class under whose context distribution its own contexts
 are likeliest, which raises the mutual information of classes and contexts. Contexts are
@@ -29,7 +29,6 @@ unknown. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
 import uuid
 from zlib import crc32
 
@@ -43,7 +42,8 @@ from pairsieve.llm.common import table
 from pairsieve.session import shared_folder, stored_table
 
 CLASSES, FORMS = 64, 32
-MIN_SHARE, MIN_COUNT = 2e-6, 5
+MIN_COUNT = 5
+_ENTRY = np.dtype([("at", "u1"), ("n", "<u4")])  # of a sparse context vector
 ROUNDS = 8
 DISCOUNT = 0.75
 PRIOR = 10.0  # weight of the class frequencies in a transition row
@@ -255,6 +255,24 @@ _WORDED = [*_TEXT, "words"]
 _CLASSED = [*_TEXT, "classes_places", "classes"]
 
 
+def _sparse(counts: np.ndarray) -> list[bytes]:
+    """The entries that are not zero of every row."""
+    rows, at = np.nonzero(counts)
+    entries = np.empty(len(rows), _ENTRY)
+    entries["at"], entries["n"] = at, counts[rows, at]
+    ends = np.cumsum(np.bincount(rows, minlength=len(counts))) * _ENTRY.itemsize
+    data = entries.tobytes()
+    return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+
+def _dense(vectors: list[bytes]) -> np.ndarray:
+    entries = np.frombuffer(b"".join(vectors), _ENTRY)
+    sizes = [len(v) // _ENTRY.itemsize for v in vectors]
+    counts = np.zeros((len(vectors), 2 * (FORMS + 1)), np.int64)
+    counts[np.repeat(np.arange(len(vectors)), sizes), entries["at"]] = entries["n"]
+    return counts
+
+
 def _context_batches(least: int):
     def run(batches):
         for batch in _rows(batches, _WORDED):
@@ -270,9 +288,9 @@ def _context_batches(least: int):
             size = len(chosen) * 2 * (FORMS + 1)
             counts = np.bincount(own + before, minlength=size)
             counts += np.bincount(own + (FORMS + 1) + forms[use + 1], minlength=size)
-            counts = counts.astype("<i4").reshape(len(chosen), -1)
+            counts = counts.reshape(len(chosen), 2 * (FORMS + 1))
             seen = counts.any(axis=1)
-            vectors = [c.tobytes() for c in counts[seen]]
+            vectors = _sparse(counts[seen])
             yield pa.RecordBatch.from_arrays(
                 [batch.words.take(pa.array(chosen[seen])), pa.array(vectors, pa.binary())],
                 names=["word", "vector"],
@@ -286,11 +304,10 @@ def _sum_batches(batches):
     last, held = None, None
     for batch in batches:
         words = batch.column("word").to_pylist()
-        vectors = np.frombuffer(b"".join(batch.column("vector").to_pylist()), "<i4")
         if not words:
             continue
         starts = [i for i, w in enumerate(words) if not i or w != words[i - 1]]
-        vectors = vectors.reshape(len(words), -1)
+        vectors = _dense(batch.column("vector").to_pylist())
         sums = np.add.reduceat(vectors, starts, axis=0, dtype=np.int64)
         names = [words[i] for i in starts]
         if last == names[0]:
@@ -446,13 +463,12 @@ SCORES = (
 )
 
 
-def score(docs: DataFrame, share: float = MIN_SHARE, limit: int = BATCH) -> DataFrame:
+def score(docs: DataFrame, least: int = MIN_COUNT, limit: int = BATCH) -> DataFrame:
     """Every document's base score and class-model score."""
     packed = pack(docs, limit)
     held = F.size(F.filter("held", lambda h: ~h)).cast("long")
     inner = F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n)
     n_docs, n_words = (n or 0 for n in packed.agg(F.sum(held), F.sum(inner)).first())
-    least = max(MIN_COUNT, math.ceil(share * (n_words + n_docs)))
     words = vocabulary(packed)
     totals = words.select("batch", "pos", F.col("total").alias("value"))
     known = packed.join(_by_batch(totals, "totals"), "batch", "left")

@@ -272,6 +272,16 @@ def test_class_model(docs, rows, empty):
     assert class_model.score(empty).count() == 0
 
 
+def test_class_model_context_vectors():
+    rng = np.random.default_rng(6)
+    counts = rng.poisson(0.1, (500, 2 * (class_model.FORMS + 1)))
+    counts[7], counts[8, 3] = 0, 3_000_000_000
+    packed = class_model._sparse(counts)
+    assert (class_model._dense(packed) == counts).all()
+    assert sum(map(len, packed)) < counts.size
+    assert class_model._dense([]).shape == (0, counts.shape[1])
+
+
 def test_class_model_sums_to_one():
     pairs = np.zeros((class_model._END + 1,) * 2)
     pairs[class_model._END, 3], pairs[3, class_model._END] = 4, 4
