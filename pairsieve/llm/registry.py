@@ -2,13 +2,16 @@
 
 from pairsieve.llm import (
     byte_bpe,
+    centroids,
     class_model,
     exact_dedup,
+    licenses,
     mixing,
     neighbours,
     pii,
     quality,
     simhash,
+    target_sample,
     templates,
     wavelet,
 )
@@ -24,6 +27,9 @@ _PARTS = (
     templates,
     pii,
     mixing,
+    target_sample,
+    centroids,
+    licenses,
 )
 
 
