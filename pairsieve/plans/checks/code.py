@@ -56,6 +56,7 @@ flags AS (
       AS ambiguous_type,
     row_id IN (SELECT id FROM s_broken WHERE broken)
       OR row_id IN (SELECT id FROM t_broken WHERE broken)
+      OR row_id IN (SELECT id FROM s_bad) OR row_id IN (SELECT id FROM t_bad)
       OR row_id IN (SELECT id FROM s_groups WHERE kind = 'declaration' AND tail = 'none')
       OR row_id IN (SELECT id FROM t_groups WHERE kind = 'declaration' AND tail = 'none')
       AS syntax_error,

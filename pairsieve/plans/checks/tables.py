@@ -79,6 +79,34 @@ TEMPLATES = [
         " final String b) { return Arrays.asList(a, b); }",
         'j{n}("p", "q");',
     ),
+    # 20-26: errors that leave brackets balanced
+    ("public int n{n}() { int x = 5 int y = 6; return x; }", "n{n}();"),
+    ("public int n{n}(int a) { return a +; }", "n{n}(1);"),
+    ("public void n{n}(int a) { if } { a++; }", "n{n}(1);"),
+    ("This method number {n} is described in plain words", "n{n}(1);"),
+    ("public int n{n}(int a) throws E { int[] b = {1, 2}; return a }", "n{n}(1);"),
+    ("public int n{n}(int a) { return a; }", "int[] b = {1, 2,}; F f = (a,) -> n{n}(1);"),
+    ('public int n{n}(int a) { return a; }', 'String s = "a" + n{n}(b[0] c);'),
+    # 27-30: names with brackets that are neither calls nor methods; what looks like an error
+    (
+        "public enum E{n} implements A, B { P(1), Q(k(2)) { int r() { return s(1); } };"
+        " private int x = t(3); E{n}(int x) { this.x = u(x); } public int e{n}() { return x; } }",
+        "Q.e{n}(); enum F { P(1), e{n}(2, 3); int x = v(4); }",
+    ),
+    (
+        'public @interface N{n} { int w{n}() default 1; String[] name() default {}; }',
+        "w{n}(); @interface M { int q{n}() default 1; int Z = w{n}(1); }",
+    ),
+    (
+        "class K{n} { final int[] a = {1, 2,}; static { go(); } int l{n}(int x) { switch (x) {"
+        " case 1: return a[0]++; default: } do { x--; } while (x > 0); return x > 1. ? x : -x; } }",
+        "import java.util.*; for (;;) { l{n}(a instanceof B ? 1 : 2); } assert x : \"no\";",
+    ),
+    (
+        "public final int y{n}(@A(1) final int x, B... y) { if (x > 0) z(); else { z(x); }"
+        " label: for (int i : y) { continue label; } return new int[] {1, 2}[0]; }",
+        "Runnable r = () -> { y{n}(1); }; r.run(); y{n}((int) 'c');",
+    ),
 ]
 
 
@@ -140,6 +168,12 @@ def scan_sql(rows: str, name: str, code: str = "code") -> str:
         "'final','abstract','native','strictfp','default','transient','volatile','class',"
         "'interface','enum','record'"
     )
+    keyword = not_type + (
+        ",'transient','extends','implements','import','package','throws','break','continue',"
+        "'finally','var','permits','sealed','when','const','goto','boolean','byte','char',"
+        "'short','int','long','float','double','void'"
+    )
+    primitive = "'boolean','byte','char','short','int','long','float','double','void'"
     generic = r"([A-Za-z0-9_])<[A-Za-z0-9_, ?.]*>"
     free = r"([ ])<[A-Z][A-Za-z0-9_, ?.]*>"
     return rf"""
@@ -155,7 +189,8 @@ def scan_sql(rows: str, name: str, code: str = "code") -> str:
       OVER (PARTITION BY id ORDER BY pos) AS depth
   FROM {name}_t0),
 {name}_c AS (
-  SELECT *, lag(tok) OVER w AS p1, lag(tok, 2) OVER w AS p2, lead(tok) OVER w AS n1
+  SELECT *, lag(tok) OVER w AS p1, lag(tok, 2) OVER w AS p2, lag(tok, 3) OVER w AS p3,
+    lead(tok) OVER w AS n1
   FROM {name}_t WHERE NOT note WINDOW w AS (PARTITION BY id ORDER BY pos)),
 {name}_b AS (
   SELECT id, pos, tok, level, lead(pos) OVER w AS close_pos, lead(tok) OVER w AS close_tok
@@ -170,11 +205,62 @@ def scan_sql(rows: str, name: str, code: str = "code") -> str:
       OR id IN (SELECT id FROM {name}_b WHERE tok IN ('(','[','{{')
                 AND concat(tok, close_tok) NOT IN ('()','[]','{{}}')) AS broken
   FROM {name}_t GROUP BY id),
+{name}_k AS (
+  SELECT *, regexp_full_match(tok, '[0-9].*') OR tok LIKE '"_%' OR tok LIKE '''_%'
+      OR (regexp_full_match(tok, '[A-Za-z_$].*') AND tok <> 'instanceof') AS operand,
+    CASE WHEN regexp_full_match(tok, '[A-Za-z_$].*') AND tok NOT IN ({keyword}) THEN 'plain'
+         WHEN tok IN ({primitive}) THEN 'primitive'
+         WHEN regexp_full_match(tok, '[0-9].*') THEN 'number'
+         WHEN tok LIKE '"_%' OR tok LIKE '''_%' THEN 'literal' END AS kind
+  FROM {name}_c),
+{name}_w AS (
+  SELECT *, lead(operand) OVER w AS next_operand, lead(kind) OVER w AS next_kind,
+    lag(kind) OVER w AS kind1, lag(kind, 2) OVER w AS kind2
+  FROM {name}_k WINDOW w AS (PARTITION BY id ORDER BY pos)),
+{name}_heads AS (
+  SELECT b.id, b.pos, b.close_pos, b.level,
+    c.p1 IN (')', 'else', 'do', 'try', 'finally', 'static') OR c.p1 = '>' AND c.p2 = '-'
+      OR c.p1 = '->' OR c.p2 IN ('throws', 'class', 'interface') AS statements,
+    c.p2 = 'enum' OR EXISTS (
+      SELECT 1 FROM {name}_c e WHERE e.id = b.id AND e.tok = 'enum' AND e.pos < b.pos
+        AND NOT EXISTS (SELECT 1 FROM {name}_c s WHERE s.id = b.id AND s.pos > e.pos
+                        AND s.pos < b.pos AND s.tok IN (';', '=', '(', ')', '{{', '}}')))
+      AS is_enum,
+    coalesce(c.p2 = 'interface' AND c.p3 = '@', false) AS is_annotation
+  FROM {name}_b b JOIN {name}_c c ON c.id = b.id AND c.pos = b.pos
+  WHERE b.tok = '{{' AND b.close_tok = '}}'),
+{name}_bad AS (
+  SELECT id FROM {name}_w WHERE next_operand AND (kind IN ('number', 'literal')
+      OR tok = ']' AND p1 <> '[')
+    OR kind = 'plain' AND next_kind IN ('number', 'literal')
+    OR kind = 'plain' AND kind1 = 'plain' AND kind2 IN ('plain', 'primitive')
+       AND coalesce(p3, '') NOT IN ('.', '@', 'new')
+    OR coalesce(n1, ';') IN (';', ',', ')', ']') AND (
+       tok IN ('/', '%', '&', '|', '^', '=', '<', '!', '~') OR tok IN ('+', '-') AND p1 <> tok
+       OR tok = '*' AND p1 <> '.' OR tok = '.')
+    OR tok = ',' AND n1 IN (')', ']')
+    OR tok IN ('if', 'for', 'while', 'switch', 'catch') AND coalesce(n1, '') <> '('
+  UNION
+  SELECT h.id FROM {name}_heads h JOIN {name}_c c ON c.id = h.id AND c.pos = h.close_pos
+  WHERE h.statements AND c.p1 NOT IN (';', '}}', ':', '{{')
+  UNION
+  SELECT id FROM {name}_c GROUP BY id
+  HAVING NOT bool_or(tok IN (';', '{{', '(')) AND count(*) > 1),
+{name}_none AS (
+  SELECT h.id, g.pos FROM {name}_heads h
+  JOIN {name}_b g ON g.id = h.id AND g.tok = '(' AND g.level = h.level + 1
+    AND g.pos > h.pos AND g.pos < h.close_pos
+  JOIN {name}_c c ON c.id = g.id AND c.pos = g.pos
+  WHERE h.is_enum AND NOT EXISTS (
+      SELECT 1 FROM {name}_t s WHERE s.id = h.id AND s.tok = ';' AND s.depth = h.level
+        AND s.pos > h.pos AND s.pos < g.pos)
+    OR h.is_annotation AND (c.p2 = ']' OR regexp_full_match(c.p2, '[A-Za-z0-9_$]+'))),
 {name}_g AS (
   SELECT c.id, c.pos, c.p1 AS name, coalesce(c.p2, '') AS before, b.close_pos, b.level
   FROM {name}_c c JOIN {name}_b b ON c.id = b.id AND c.pos = b.pos
   WHERE c.tok = '(' AND b.close_tok = ')' AND regexp_full_match(c.p1, '[A-Za-z_$].*')
-    AND coalesce(c.p2, '') NOT IN ('@', 'new')),
+    AND coalesce(c.p2, '') NOT IN ('@', 'new')
+    AND (c.id, c.pos) NOT IN (SELECT id, pos FROM {name}_none)),
 {name}_a AS (
   SELECT g.id, g.pos,
     count(*) FILTER (t.tok = ',' AND t.depth = g.level) AS commas,
