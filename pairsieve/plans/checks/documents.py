@@ -150,6 +150,33 @@ def dictionary_flag_both_forms(spark, sf_dir):
     return both.select("doc_id", "by_expression", "by_join")
 
 
+@query("""WITH d AS (
+  SELECT CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 100 END AS id, text FROM documents
+  UNION ALL SELECT doc_id % 100, text FROM documents)
+SELECT id, pattern, count(*) AS by_broadcast, count(*) AS by_join
+FROM d JOIN (SELECT DISTINCT text AS pattern FROM benchmark) p ON contains(d.text, p.pattern)
+GROUP BY id, pattern""")
+def dictionary_hits_both_forms(spark, sf_dir):
+    """Both forms of the join, each forced, on rows with repeated and missing ids."""
+    docs = table(spark, sf_dir, "documents")
+    few = F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") % 100)
+    rows = docs.select(few.alias("id"), "text").union(docs.select(F.col("doc_id") % 100, "text"))
+    patterns = document_patterns(spark, sf_dir)
+    parts = [
+        dictionary.hits(rows, "id", "text", patterns, form).withColumn("form", F.lit(form))
+        for form in ("broadcast", "join")
+    ]
+    return (
+        parts[0]
+        .union(parts[1])
+        .groupBy("id", "pattern")
+        .agg(
+            F.count_if(F.col("form") == "broadcast").alias("by_broadcast"),
+            F.count_if(F.col("form") == "join").alias("by_join"),
+        )
+    )
+
+
 # Every document gives its first line as a pattern: a large dictionary.
 _PREFIXES = """SELECT DISTINCT split_part(text, chr(10), 1) AS pattern FROM documents
 WHERE split_part(text, chr(10), 1) <> ''"""
