@@ -10,11 +10,13 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairsieve.functions import prompts
 from pairsieve.functions.text import noise_verdict, ratio, relevance_verdict, syntax_verdict
+from pairsieve.operators.dedup import key_digest
+from pairsieve.session import folder_exists, spread_rows, stored_table
 from pairsieve.sources.schema import ROW_ID, SRC, TARGET
 
 # Labels the judge may overrule.
@@ -63,13 +65,8 @@ def route_all(pairs: DataFrame, few_shot: bool = False) -> DataFrame:
     )
 
 
-def ask(
-    routed: DataFrame, judge: Callable[[str], str], tries: int = 3, wait: float = 2.0
-) -> DataFrame:
-    """Run the user's function on every prompt; a prompt that keeps failing has no answer.
-
-    Answers cost money: store the result before using it more than once.
-    """
+def _patient(judge: Callable[[str], str], tries: int, wait: float):
+    """The judge with retries; a prompt that keeps failing has no answer."""
 
     def answer(prompt: str) -> str | None:
         for attempt in range(tries):
@@ -80,6 +77,19 @@ def ask(
                     time.sleep(wait)
         return None
 
+    return answer
+
+
+def ask(
+    routed: DataFrame, judge: Callable[[str], str], tries: int = 3, wait: float = 2.0
+) -> DataFrame:
+    """Run the user's function on every prompt; a prompt that keeps failing has no answer.
+
+    Answers cost money: store the result before using it more than once, or use
+    ``ask_stored``, which asks each prompt once for all.
+    """
+    answer = _patient(judge, tries, wait)
+
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield frame[[ROW_ID, "question"]].assign(answer=frame["prompt"].map(answer))
@@ -87,6 +97,88 @@ def ask(
     return routed.mapInPandas(batches, ANSWER_SCHEMA)
 
 
+STORED_ANSWERS = "prompt_key binary, answer string"
+# Prompts asked before their answers are written for good.
+PER_WAVE = 20_000
+
+
+def stored_answers(spark: SparkSession, store: str) -> DataFrame:
+    """(prompt_key, answer): the answers in a store, one for each prompt; maybe none yet."""
+    if not folder_exists(spark, store):
+        return spark.createDataFrame([], STORED_ANSWERS)
+    found = spark.read.schema(STORED_ANSWERS).parquet(store)
+    # Two jobs may have asked the same at the same time.
+    return found.groupBy("prompt_key").agg(F.min("answer").alias("answer"))
+
+
+def ask_stored(
+    routed: DataFrame,
+    judge: Callable[[str], str],
+    store: str,
+    tries: int = 3,
+    wait: float = 2.0,
+    per_wave: int = PER_WAVE,
+) -> DataFrame:
+    """(row_id, question, answer), each distinct prompt asked and paid once for all.
+
+    ``store`` is a folder that only grows: answers by the digest of their prompt. Prompts with
+    an answer there are not asked. The others are asked in waves of about ``per_wave``
+    prompts, and a wave's answers are written before the next wave starts. A prompt that
+    keeps failing gets no answer and no entry; the next run asks it again, and it alone. A
+    judge that breaks off (any other exception, such as an interrupt) ends its task's
+    questions; the answers it had given are written first, then the run fails. So a failed
+    run loses nothing that was answered, but for tasks an executor takes down with it.
+
+    One store belongs to one judge: change the folder with the model.
+    """
+    spark = routed.sparkSession
+    keyed = stored_table(
+        routed.select(ROW_ID, "question", "prompt", key_digest("prompt").alias("prompt_key")),
+        "prompts",
+    )
+    distinct = keyed.filter("prompt is not null").select("prompt_key", "prompt")
+    missing = stored_table(
+        distinct.dropDuplicates(["prompt_key"]).join(
+            stored_answers(spark, store), "prompt_key", "left_anti"
+        ),
+        "prompts-to-ask",
+    )
+    answer = _patient(judge, tries, wait)
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        broken = None
+        for frame in frames:
+            answers, errors = [], []
+            for prompt in frame["prompt"]:
+                found = None
+                if broken is None:
+                    try:
+                        found = answer(prompt)
+                    except BaseException as error:  # written below, raised by the driver
+                        broken = f"{type(error).__name__}: {error}"
+                answers.append(found)
+                errors.append(broken)
+            yield pd.DataFrame(
+                {"prompt_key": frame["prompt_key"], "answer": answers, "error": errors}
+            )
+
+    waves = -(-missing.count() // per_wave)
+    for wave in range(waves):
+        part = missing.filter(F.pmod(F.xxhash64("prompt_key"), F.lit(waves)) == wave)
+        asked = stored_table(
+            spread_rows(part).mapInPandas(batches, STORED_ANSWERS + ", error string"),
+            "answers-of-a-wave",
+        )
+        given = asked.filter("answer is not null").select("prompt_key", "answer")
+        given.write.mode("append").parquet(store)
+        error = asked.agg(F.min("error")).first()[0]
+        if error:
+            raise RuntimeError(f"the judge broke off: {error}")
+    return keyed.join(stored_answers(spark, store), "prompt_key", "left").select(
+        ROW_ID, "question", "answer"
+    )
+
+
 def unanswered(answers: DataFrame) -> DataFrame:
     """(question, asked, unanswered): shows a judge that fails."""
     return answers.groupBy("question").agg(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairsieve.functions.text import ratio
@@ -91,3 +91,12 @@ def stage_remaining(labelled: DataFrame, stages) -> DataFrame:
             )
         )
     return counts.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+
+
+def ranked_breakdown(labelled: DataFrame) -> DataFrame:
+    """(position, noise_type, n): labels by falling count, ties by name, counted from 1."""
+    # One row per label.
+    by_count = Window.orderBy(F.desc("n"), "noise_type")
+    return label_counts(labelled.filter("noise_type is not null")).select(
+        F.row_number().over(by_count).alias("position"), "noise_type", "n"
+    )

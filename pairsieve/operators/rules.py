@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairsieve.functions import code_structure as cs
-from pairsieve.operators.dictionary import with_hit_flag
+from pairsieve.operators.dictionary import Keyed, with_hit_flag
 from pairsieve.session import spread_small
 from pairsieve.sources.schema import LABEL, ROW_ID, SRC, TARGET
 
@@ -60,6 +60,10 @@ class RuleOptions:
     )
     # Skip the structure scan for rows the dictionary rule removes anyway.
     first_match_only: bool = True
+    # How the dictionary rule runs ('local' or 'join'; None: by size), and a dictionary made
+    # ready before, so that several tables share the work.
+    dictionary_form: str | None = None
+    keyed: Keyed | None = None
 
 
 def below_threshold(value: Column, threshold: float) -> Column:
@@ -77,7 +81,9 @@ def with_structure(
     if options.null_policy == "text":
         src, target = F.coalesce(src, F.lit("nan")), F.coalesce(target, F.lit("nan"))
     wanted = "unnecessary_annotations" not in options.disabled and SYNTAX in options.stages
-    df = with_hit_flag(df, SRC, patterns if wanted else None, "_hit")
+    df = with_hit_flag(
+        df, SRC, patterns if wanted else None, "_hit", options.dictionary_form, options.keyed
+    )
     scan_src, scan_target = cs.scan_code(src), cs.scan_code(target)
     if options.first_match_only:
         scan_src = F.when(~F.col("_hit"), scan_src)

@@ -197,3 +197,13 @@ def stratified_sample(
 def split_summary(split: DataFrame, value: str) -> DataFrame:
     """(split, n_rows, min, median, mean, max, std)."""
     return describe(split, value, by=["split"])
+
+
+def strata_summary(split: DataFrame, stratum: str, value: str) -> DataFrame:
+    """(position, stratum, n_rows, low, high): strata in ascending order, counted from 0."""
+    found = split.groupBy(stratum).agg(
+        F.count("*").alias("n_rows"), F.min(value).alias("low"), F.max(value).alias("high")
+    )
+    # One row per stratum.
+    place = F.row_number().over(Window.orderBy(F.col(stratum).asc_nulls_first())) - 1
+    return found.select(place.alias("position"), stratum, "n_rows", "low", "high")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pairsieve.functions import prompts, text
@@ -19,8 +21,9 @@ from pairsieve.plans.checks.tables import (
     table,
 )
 from pairsieve.plans.cleaning import label_pairs
-from pairsieve.plans.splitting import evaluate
-from pairsieve.session import stored_table
+from pairsieve.plans.comparison import comparison_sample
+from pairsieve.plans.splitting import evaluate, write_evaluation
+from pairsieve.session import shared_folder, stored_table
 
 QUERIES, ORACLES, query = registry()
 
@@ -71,6 +74,13 @@ def _judged(spark, sf_dir):
     return judging.apply_relevance_verdicts(first, verdicts, "after_relevance")
 
 
+@query(f"""{LABELLED_SQL} SELECT row_number() OVER (ORDER BY count(*) DESC, noise_type) AS position,
+noise_type, count(*) AS n FROM l WHERE noise_type IS NOT NULL GROUP BY noise_type""")
+def label_breakdown_in_order(spark, sf_dir):
+    ranked = report.ranked_breakdown(_labelled(spark, sf_dir))
+    return ranked.withColumn("position", F.col("position").cast("long"))
+
+
 @query(f"""{LABELLED_SQL} SELECT row_id, CASE WHEN noise_type = 'no_relevance' THEN 'relevance'
 ELSE 'syntax' END AS question FROM l
 WHERE noise_type IN ('syntax_error', 'empty_method', 'no_relevance')""")
@@ -214,30 +224,47 @@ def judge_triage(spark, sf_dir):
     )
 
 
-@query("""SELECT doc_id AS row_id, quality::DOUBLE AS condition_cover_rate, true AS in_range,
-true AS label_follows_score FROM documents JOIN labels USING (doc_id)""")
-def scored_filter(spark, sf_dir):
-    """A scorer trained on document quality, applied as a threshold filter.
+def _scored_documents(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    return docs.select(
+        F.col("doc_id").alias("row_id"), F.col("text").alias("src_fm"),
+        F.col("lang").alias("target"),
+        F.col("quality").cast("double").alias("condition_cover_rate"),
+    )
+
 
-    The scores belong to the model; every row has one in range, and its label follows it.
+@query("""SELECT count(*) AS n, round(var_pop(quality), 2) AS error_of_mean,
+  true AS scores_beat_mean
+FROM documents JOIN labels USING (doc_id)""")
+def scorer_error(spark, sf_dir):
+    """Held-out error of the calibrated scorer, below three quarters of the constant mean's.
+
+    Fewer than 300 labelled rows are too few to learn from; nothing is claimed for them.
     """
-    docs = (
-        table(spark, sf_dir, "documents")
-        .join(table(spark, sf_dir, "labels"), "doc_id")
-        .select(
-            F.col("doc_id").alias("row_id"), F.col("text").alias("src_fm"),
-            F.col("lang").alias("target"),
-            F.col("quality").cast("double").alias("condition_cover_rate"),
-        )
+    found = scoring.held_out_error(_scored_documents(spark, sf_dir), features=1 << 14)
+    return found.select(
+        "n",
+        F.round("mse_of_mean", 2).alias("error_of_mean"),
+        ((F.col("mse") < 0.75 * F.col("mse_of_mean")) | (F.col("n") < 300)).alias(
+            "scores_beat_mean"
+        ),
     )
-    model = scoring.fit_scorer(docs, features=1 << 14)
-    score = F.col("predicted_cover_rate")
+
+
+@query("""SELECT quality::DOUBLE AS condition_cover_rate, count(*) AS n, true AS mostly_right
+FROM documents JOIN labels USING (doc_id) GROUP BY 1""")
+def scored_filter(spark, sf_dir):
+    """A calibrated scorer trained on document quality, applied as a threshold filter.
+
+    Of each label's rows at least 85 % end up on its side of the threshold.
+    """
+    docs = _scored_documents(spark, sf_dir)
+    model = scoring.fit_calibrated(docs, features=1 << 14)
     labelled = scoring.score_filter(scoring.score(docs, model), 0.5)
-    return labelled.select(
-        "row_id",
-        "condition_cover_rate",
-        score.between(0, 1).alias("in_range"),
-        (F.col("noise_type").isNotNull() == (score < 0.5)).alias("label_follows_score"),
+    low = F.col("noise_type") == "low_coverage"
+    right = F.coalesce(low, F.lit(False)) == (F.col("condition_cover_rate") < 0.5)
+    return labelled.groupBy("condition_cover_rate").agg(
+        F.count("*").alias("n"), (F.avg(right.cast("int")) >= 0.85).alias("mostly_right")
     )
 
 
@@ -264,3 +291,34 @@ def evaluate_scores(spark, sf_dir):
     return row.select(
         "n", *[F.round(c, 6).alias(c) for c in measures], "confusion.*"
     )
+
+
+_MADE_UP = "round(condition_cover_rate * 0.5 + (row_id % 17) / 34, 9)"
+
+
+@query(f"""WITH pairs AS ({CODE_PAIRS}), s AS (
+  SELECT *, {_MADE_UP} AS p, abs({_MADE_UP} - condition_cover_rate) AS e FROM pairs)
+SELECT row_id, src_fm, condition_cover_rate, p AS predicted_cover_rate,
+(SELECT count(*) FROM s) AS n, (SELECT round(avg(e), 6) FROM s) AS mae FROM s""")
+def written_evaluation(spark, sf_dir):
+    """Prediction file and metrics file of the evaluation job, read back."""
+    scored = code_pairs(spark, sf_dir).withColumn("predicted_cover_rate", F.expr(_MADE_UP))
+    folder = f"{shared_folder(spark)}/evaluation-{uuid.uuid4().hex}"
+    write_evaluation(scored, folder, threshold=0.5)
+    metrics_row = spark.read.schema("n long, mae double").json(f"{folder}/test_metrics")
+    predictions = spark.read.parquet(f"{folder}/predictions")
+    return predictions.join(F.broadcast(metrics_row)).select(
+        "row_id", "src_fm", "condition_cover_rate", "predicted_cover_rate", "n",
+        F.round("mae", 6).alias("mae"),
+    )
+
+
+@query(f"""{WITH_FLAGS}, u AS (SELECT * FROM flags
+  QUALIFY row_number() OVER (PARTITION BY target ORDER BY row_id) = 1),
+s AS (SELECT * FROM u ORDER BY md5('42:' || row_id) LIMIT 500)
+SELECT row_id, {case_sql(NAMES[:7])} AS noise_type,
+CASE WHEN {" OR ".join(NAMES[:7])} THEN 'NOISE' ELSE 'CLEAN' END AS rule_label FROM s""")
+def written_comparison_sample(spark, sf_dir):
+    """The labelled sample that methods are compared on, written and read back."""
+    sample = comparison_sample(code_pairs(spark, sf_dir), one_pattern(spark))
+    return stored_table(sample.select("row_id", "noise_type", "rule_label"), "labelled-sample")

@@ -76,6 +76,14 @@ def split_summary(spark, sf_dir):
     )
 
 
+@query(f"""WITH {_EDGES}, {_SPLIT} SELECT
+(row_number() OVER (ORDER BY stratum) - 1)::bigint AS position, stratum::bigint AS stratum,
+count(*) AS n_rows, min(n_chars) AS low, max(n_chars) AS high FROM split GROUP BY stratum""")
+def strata_in_order(spark, sf_dir):
+    found = sampling.strata_summary(_split(spark, sf_dir), "stratum", "n_chars")
+    return found.withColumns({c: F.col(c).cast("long") for c in ("position", "stratum")})
+
+
 @query("""SELECT event_id, event_type FROM events QUALIFY
 row_number() OVER (PARTITION BY event_type ORDER BY md5('42:' || event_id))
 <= floor(0.2 * count(*) OVER (PARTITION BY event_type))""")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
 import uuid
 
 from pyspark.sql import functions as F
 
-from pairsieve.operators.dictionary import with_hit_flag
+from pairsieve.operators.dictionary import keyed_dictionary, with_hit_flag
 from pairsieve.plans.checks.documents import ACCENTS
 from pairsieve.plans.checks.tables import document_patterns, registry, table
 from pairsieve.functions import code_structure as cs
@@ -64,6 +63,23 @@ def stream_clean(spark, sf_dir):
     return _drain(kept, "append")
 
 
+@query(f"SELECT doc_id FROM documents d WHERE {_LABEL} IS NULL")
+def stream_clean_joined_dictionary(spark, sf_dir):
+    """As ``stream_clean``, with the form for dictionaries over the bounds, batch by batch."""
+    patterns = document_patterns(spark, sf_dir)
+    keyed = keyed_dictionary(patterns)
+
+    def kept(docs):
+        flagged = with_hit_flag(docs, "text", patterns, "_hit", "join", keyed)
+        clean = ~F.col("_hit") & ~cs.in_char_ranges(F.col("text"), ACCENTS)
+        return flagged.filter(clean).select("doc_id")
+
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    docs = _stream(spark, sf_dir, "documents").select("doc_id", "text")
+    streams.start_batches(docs, kept, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").select("doc_id")
+
+
 @query(f"SELECT {_LABEL} AS noise_type, count(*) AS n FROM documents d GROUP BY 1")
 def stream_report(spark, sf_dir):
     return _drain(streams.running_report(_labelled(spark, sf_dir)), "complete")

@@ -73,6 +73,8 @@ class CleaningOptions:
     judge: Callable[[str], str] | None = None
     reflection: bool = False
     csv_output: bool = False
+    # folder of answers already paid for; None: one under the output
+    answer_store: str | None = None
 
 
 def clean(
@@ -122,10 +124,12 @@ def _store(labelled: DataFrame, path: str) -> DataFrame:
 
 def _judge(labelled: DataFrame, output: str, options: CleaningOptions) -> DataFrame:
     spark = labelled.sparkSession
+    store = options.answer_store or f"{output}/paid_answers"
 
     def ask(routed: DataFrame, name: str) -> DataFrame:
         path = f"{output}/answers_{name}"
-        judging.ask(routed, options.judge).write.mode("overwrite").parquet(path)
+        answers = judging.ask_stored(routed, options.judge, store)
+        answers.write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
 
     answers = ask(judging.route_syntax(labelled), "syntax")

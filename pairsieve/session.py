@@ -50,6 +50,17 @@ def stored_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    """Asked of the file system the path belongs to."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+
+
+def spread_rows(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores, for work that takes long per row."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 # Below this many bytes per core an input counts as small for work bound by computation.
 SMALL_PER_CORE = 8 << 20
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 import csv
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairsieve.session import stored_table
 from pairsieve.sources.schema import (
     EVENT_LOG_SCHEMA,
     REQUIRED,
@@ -58,26 +59,52 @@ def read_csv_pairs(spark: SparkSession, path: str, required=REQUIRED) -> DataFra
     return require_columns(df.withColumns(typed) if typed else df, required)
 
 
-def _has_files(df: DataFrame) -> bool:
-    """Whether rows know the file they come from."""
+def _has(df: DataFrame, column: str) -> bool:
+    """Whether rows know this of the file they come from."""
     try:
-        df.select("_metadata.file_path")
+        df.select(column)
     except AnalysisException:
         return False
     return True
 
 
 def with_row_id(df: DataFrame) -> DataFrame:
-    """Add ``row_id`` (unique) and ``source_file``; together they order rows as in the files.
-
-    A column ``idx`` stays a column of its own: values may repeat between files or be empty.
-    The id depends on how the input is split, so call this once at ingest and store the
-    result. Tables that are no file scan have an empty ``source_file``.
+    """Add ``row_id`` and ``source_file``: rows numbered from 0 through the files in path order.
+
+    The id depends on the order of the files and of the rows in them, not on how files are
+    split or packed into tasks, nor on the number of cores: so samples and keep-first rows that
+    go by it stay the same. Rows that do not know their place in the file (CSV) are stored
+    first; the rows of a file are read in order, so their places follow from the order of the
+    numbers they got. A column ``idx`` stays a column of its own: values may repeat between
+    files or be empty. Tables that are no file scan have an empty ``source_file`` and an id that
+    is only unique: store the result before using it twice.
     """
     if ROW_ID in df.columns:
         return df
-    file = F.col("_metadata.file_path") if _has_files(df) else F.lit("")
-    return df.withColumn(SOURCE_FILE, file).withColumn(ROW_ID, F.monotonically_increasing_id())
+    if not _has(df, "_metadata.file_path"):
+        return df.withColumn(SOURCE_FILE, F.lit("")).withColumn(
+            ROW_ID, F.monotonically_increasing_id()
+        )
+    df = df.withColumn(SOURCE_FILE, F.col("_metadata.file_path"))
+    if _has(df, "_metadata.row_index"):
+        rows = df.withColumn("_at", F.col("_metadata.row_index"))
+        first = F.lit(0).cast("long")
+    else:
+        started = F.col("_metadata.file_block_start")
+        rows = df.withColumn("_block", started).withColumn("_at", F.monotonically_increasing_id())
+        rows = stored_table(rows, "rows-to-number")
+        first = F.min("_at")
+    parts = [SOURCE_FILE] + (["_block"] if "_block" in rows.columns else [])
+    # One row per file and block.
+    sizes = rows.groupBy(*parts).agg(F.count("*").alias("_n"), first.alias("_first"))
+    before = Window.orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(
+        *parts, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+    )
+    numbered = rows.join(offsets, parts).withColumn(
+        ROW_ID, F.col("_before") + F.col("_at") - F.col("_first")
+    )
+    return numbered.select(*[c for c in df.columns], ROW_ID)
 
 
 def ingest_pairs(spark: SparkSession, csv_path: str, table_path: str) -> DataFrame:
