@@ -73,7 +73,6 @@ class Encoder:
 
         if path.endswith(".json"):
             self.library = Tokenizer.from_file(path)
-            self.library.encode_special_tokens = True  # their strings are ordinary text
         else:
             self.library = tokenizer_from_ranks(read_ranks(path))
         self.model = self.library.model
@@ -81,7 +80,10 @@ class Encoder:
         self._to_name = {b: c for b, c in enumerate(alphabet)}
         byte_of = {c: b for b, c in enumerate(alphabet)}
         vocab = self.library.get_vocab(with_added_tokens=True)
-        plain = json.loads(self.library.to_str())["model"]["vocab"]
+        whole = json.loads(self.library.to_str())
+        plain = whole["model"]["vocab"]
+        # Strings the library takes out of a text before it splits it.
+        self._added = [t["content"] for t in whole.get("added_tokens") or []]
         self.token_bytes = [b""] * (max(vocab.values()) + 1)
         for token, at in vocab.items():
             self.token_bytes[at] = (
@@ -91,6 +93,8 @@ class Encoder:
         self._byte_start = np.cumsum(self._byte_count) - self._byte_count
         self._byte_pool = np.frombuffer(b"".join(self.token_bytes), np.uint8)
         self._memo: dict[str, bytes] = {}
+        # texts of the memo whose white space goes with what stands beside them
+        self._edged: set[str] = set()
 
     # Encoding
 
@@ -117,6 +121,8 @@ class Encoder:
                 self._memo[text] = head + mark
             else:
                 hard.append(text)
+                if text[:1] == " " and _EDGE.search(word):
+                    self._edged.add(text)
         for text, made in zip(hard, self._library_ids(hard)):
             self._memo[text] = made
 
@@ -128,8 +134,9 @@ class Encoder:
         """Ids of chunks, through the memo unless they are long."""
         if len(self._memo) > _KEEP:
             self._memo.clear()
+            self._edged.clear()
         memo = self._memo
-        found = [memo.get(t) for t in texts]
+        found = list(map(memo.get, texts))
         missing = [i for i, ids in enumerate(found) if ids is None]
         if missing:
             short = [texts[i] for i in missing if len(texts[i]) <= _KEEP_CHARS]
@@ -151,13 +158,25 @@ class Encoder:
         starts = split.offsets.to_numpy()[:-1] - split.offsets[0].as_py()
         coded = split.flatten().dictionary_encode()
         words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().copy()
-        unsafe = np.array([_EDGE.search(w) is not None for w in words], bool)
-        entries = self._ids_of([" " + w for w in words])
+        spaced = [" " + w for w in words]
+        entries = self._ids_of(spaced)
+        unsafe = np.fromiter(map(self._edged.__contains__, spaced), bool, len(spaced))
+        for i in [i for i, w in enumerate(spaced) if len(w) > _KEEP_CHARS]:  # not in the memo
+            unsafe[i] = _EDGE.search(words[i]) is not None
         if len(starts):
             firsts = [words[c] for c in codes[starts]]
             odd = np.logical_or.reduceat(unsafe[codes], starts)
             # A blank or empty text is odd as well: its only chunk is empty.
-            own = [self._whole(texts[i].as_py()) for i in np.flatnonzero(odd)]
+            special = np.zeros(len(odd), bool)
+            for string in self._added:
+                special |= pc.match_substring(texts, string).to_numpy(zero_copy_only=False)
+            odd |= special
+            own = [
+                self._library_ids([texts[i].as_py()])[0]
+                if special[i]
+                else self._whole(texts[i].as_py())
+                for i in np.flatnonzero(odd)
+            ]
             none = len(entries)
             entries.append(b"")
             ends = np.append(starts[1:], len(codes))
