@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 _WS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
 _EDGE = re.compile(f"^(?:[{_WS}]|$)|[{_WS}]$")
-# Bounds of the memo: longest text kept, most texts kept.
+# Bounds of the memo: longest text kept, most texts kept (about; one call's may be over).
 _KEEP_CHARS, _KEEP = 48, 800_000
 # Characters encoded at a time.
 SLICE = 8_000_000
@@ -92,7 +92,9 @@ class Encoder:
         self._byte_count = np.array([len(t) for t in self.token_bytes], np.int64)
         self._byte_start = np.cumsum(self._byte_count) - self._byte_count
         self._byte_pool = np.frombuffer(b"".join(self.token_bytes), np.uint8)
+        # Ids of chunks seen of late, and of those before: a chunk in use is never forgotten.
         self._memo: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         # texts of the memo whose white space goes with what stands beside them
         self._edged: set[str] = set()
 
@@ -132,12 +134,18 @@ class Encoder:
 
     def _ids_of(self, texts: list[str]) -> list[bytes]:
         """Ids of chunks, through the memo unless they are long."""
-        if len(self._memo) > _KEEP:
-            self._memo.clear()
-            self._edged.clear()
-        memo = self._memo
+        if len(self._memo) > _KEEP // 2:
+            self._older, self._memo = self._memo, {}
+            self._edged.intersection_update(self._older)
+        memo, older = self._memo, self._older
         found = list(map(memo.get, texts))
-        missing = [i for i, ids in enumerate(found) if ids is None]
+        missing = []
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            ids = older.get(texts[i])
+            if ids is None:
+                missing.append(i)
+            else:
+                found[i] = memo[texts[i]] = ids
         if missing:
             short = [texts[i] for i in missing if len(texts[i]) <= _KEEP_CHARS]
             long = {t: None for t in (texts[i] for i in missing) if len(t) > _KEEP_CHARS}

@@ -192,6 +192,21 @@ def test_encoder_equals_tokenizers_on_odd_texts():
     assert ids.tolist() == [i for w in want for i in w]
 
 
+def test_encoder_forgets_without_harm(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from pairsieve.llm import pieces
+
+    monkeypatch.setattr(pieces, "_KEEP", 8)
+    path = P.path("byte_bpe_50k.json")
+    known, own = Tokenizer.from_file(path), Encoder(path)
+    rng = random.Random(4)
+    for _ in range(60):
+        texts = [" ".join(rng.choices(["a", "bc", " d", "e\t", "f.", "", "g" * 60], k=6)) for _ in range(3)]
+        ids, _ = own.encode(pa.array(texts, pa.string()))
+        assert ids.tolist() == [i for t in texts for i in known.encode(t).ids]
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(2)
     for size in (0, 1, 7, 513, 5000):
