@@ -12,13 +12,15 @@ import time
 from pyspark.sql import SparkSession
 
 from pairsieve.plans import checks
-from pairsieve.plans.checks.tables import NAMES
+from pairsieve.plans.checks.tables import NAMES, text_pairs
 from pairsieve.session import JOB_SETTINGS
 
 HEADLINE = [
     "noise_breakdown",
     "clean_pairs_counts",
     "first_match_label",
+    "text_pairs_label",
+    "clean_text_pairs_counts",
     "relevance_score",
     "inclusive_counts",
     "dictionary_semi_join",
@@ -67,6 +69,11 @@ def main() -> None:
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
     pairs = spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    texts = text_pairs(spark, sf_dir)
+    documents = texts.count()
+    # The cleaning job labels the rows that are left of repeated tests.
+    distinct = texts.select("target").distinct().count()
+    chars = texts.selectExpr("avg(length(src_fm) + length(target))").first()[0]
     labels = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
     rates = {
         f"{name}_rows_per_sec": round(rows / times[name])
@@ -74,6 +81,8 @@ def main() -> None:
         # so its input rows a second would say nothing about labelling.
         for name, rows in (
             ("first_match_label", pairs),
+            ("text_pairs_label", documents),
+            ("clean_text_pairs_counts", distinct),
             ("label_threshold", labels),
         )
         if name in times
@@ -87,6 +96,8 @@ def main() -> None:
                 "queries": times,
                 "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
                 "cpus": int(cpus),
+                "text_pairs_mean_chars": round(chars),
+                "text_pairs_labelled_share": round(distinct / max(documents, 1), 3),
                 **rates,
             }
         )

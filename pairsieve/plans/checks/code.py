@@ -30,6 +30,8 @@ from pairsieve.plans.checks.tables import (
     registry,
     scan_sql,
     table,
+    TEXT_PAIRS,
+    text_pairs,
 )
 from pairsieve.plans.cleaning import coverage_only, deduplicate, label_pairs, syntax_only
 from pairsieve.sources.readers import read_csv_pairs
@@ -77,6 +79,9 @@ flags AS (
 WITH_FLAGS = f"WITH {SRC_SCAN}, {TGT_SCAN}, {FLAGS}"
 
 
+_UNIQUE = "QUALIFY row_number() OVER (PARTITION BY target ORDER BY row_id) = 1"
+
+
 def case_sql(names):
     return "CASE " + " ".join(f"WHEN {n} THEN '{n}'" for n in names) + " END"
 
@@ -198,6 +203,26 @@ def first_match_label(spark, sf_dir):
     return _labelled(spark, sf_dir).select("row_id", "noise_type")
 
 
+@query(f"""{WITH_FLAGS.replace(CODE_PAIRS, TEXT_PAIRS)}
+SELECT row_id, {case_sql(NAMES)} AS noise_type FROM flags""")
+def text_pairs_label(spark, sf_dir):
+    """First-match labels of pairs with whole documents in their comments and literals."""
+    labelled = label_pairs(
+        text_pairs(spark, sf_dir), one_pattern(spark), RuleOptions(coverage_threshold=THRESHOLD)
+    )
+    return labelled.select("row_id", "noise_type")
+
+
+@query(f"""{WITH_FLAGS.replace(CODE_PAIRS, TEXT_PAIRS)},
+l AS (SELECT row_id, {case_sql(NAMES)} AS noise_type FROM (SELECT * FROM flags {_UNIQUE}))
+SELECT noise_type, count(*) AS n FROM l GROUP BY noise_type""")
+def clean_text_pairs_counts(spark, sf_dir):
+    """The cleaning job on the same pairs, most of which are distinct."""
+    pairs = deduplicate(text_pairs(spark, sf_dir))
+    options = RuleOptions(coverage_threshold=THRESHOLD)
+    return report.label_counts(label_pairs(pairs, one_pattern(spark), options))
+
+
 def _with_rules(spark, sf_dir):
     options = RuleOptions(coverage_threshold=THRESHOLD, first_match_only=False)
     prepared = with_structure(code_pairs(spark, sf_dir), one_pattern(spark), options)
@@ -286,9 +311,6 @@ def rule_ablation(spark, sf_dir):
     return ablation(flag_profile(prepared, rules), NAMES, VARIANTS)
 
 
-_UNIQUE = "QUALIFY row_number() OVER (PARTITION BY target ORDER BY row_id) = 1"
-
-
 @query(f"""{WITH_FLAGS}, l AS (SELECT row_id, {case_sql(NAMES)} AS noise_type
 FROM (SELECT * FROM flags {_UNIQUE}))
 SELECT noise_type, count(*) AS n FROM l GROUP BY noise_type""")

@@ -129,6 +129,31 @@ FROM (SELECT o_orderkey AS row_id, o_orderkey % {len(TEMPLATES)} AS k,
              cast(o_orderkey % 1000 AS string) AS n, o_orderstatus AS status
       FROM orders) AS o"""
 
+# One pair per document, its whole text in comments and literals: long and nearly all distinct.
+TEXT_PAIRS = """
+SELECT row_id, condition_cover_rate,
+  CASE k
+    WHEN 0 THEN concat('public int d', n, '(int a, String b) { /* ', note, ' */ return g(a, "',
+                       quoted, '"); }')
+    WHEN 1 THEN concat('/* ', note, ' */ public void d', n, '(int a, String b) { try { go("', quoted,
+                       '"); } catch (Exception e) { } }')
+    WHEN 2 THEN concat('public <T> T d', n, '(int a, String b) { String s = "', quoted,
+                       '"; /* ', note, ' */ return null; }')
+    WHEN 3 THEN concat('public void d', n, '(int a, String b) { /* ', note, ' */ }')
+    WHEN 4 THEN concat('public int d', n, '(int a, String b) { String s = "', quoted, '" return a; }')
+    WHEN 5 THEN concat('public void d', n, '(int a, String b) { } /* ', note, ' */')
+    ELSE concat('@GetMapping("', quoted, '") public int d', n, '(int a, String b) { return a; }')
+  END AS src_fm,
+  concat('@Test public void t() { /* ', note, ' */ ',
+    CASE WHEN n % 5 = 0 THEN concat('other("d', n, '(1, 2) ', quoted, '"); }')
+         ELSE concat('assertEquals("', quoted, '", d', n, '(1, "', quoted, '")); }') END) AS target
+FROM (SELECT doc_id AS row_id, doc_id AS n, doc_id % 13 AS k,
+        cast(doc_id % 200 AS double) / 100 AS condition_cover_rate,
+        replace(replace(text, '*', '+'), '/', '|') AS note,
+        replace(replace(replace(text, '"', '`'), '|', '/'), chr(10), ' ') AS quoted
+      FROM (SELECT doc_id, replace(coalesce(text, ''), chr(92), '|') AS text FROM documents) AS t)
+  AS d"""
+
 PATTERN = "@GetMapping("
 
 
@@ -140,6 +165,14 @@ def code_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    literal = TEXT_PAIRS.replace("{", "{{").replace("}", "}}")
+    return spark.sql(
+        literal.replace("FROM documents", "FROM {documents}"),
+        documents=table(spark, sf_dir, "documents"),
+    )
+
+
 def one_pattern(spark: SparkSession) -> DataFrame:
     """The dictionary that goes with the code pairs (a parameter, not an input table)."""
     return spark.range(1).select(F.lit(PATTERN).alias("pattern"))
