@@ -92,12 +92,12 @@ _GROUP = f"{PARENS}{INDEXED}{BLOCK}{VIRTUAL}"
 _OPENERS, _STATEMENTS = "([{", "}"
 _NAME = rf"(?<!{_W})[{_LETTERS}]{_W}*+"
 _TYPED_NAME = rf"(?:(?<!{_W}){_W}++{_GAP}++|[{INDEX}{INDEXED}]{_GAP}*+){_NAME}{_GAP}*{PARENS}$"
-# Each placeholder with what stands before it, [previous word or array dims] name, as groups
-# 1 and 2; and with what follows a parameter list up to the body as group 1.
-_BEFORE_GROUP = (
-    rf"(?:(?:((?<!{_W}){_W}++(?={_GAP})|[{INDEX}{INDEXED}]){_GAP}*+)?({_NAME}){_GAP}*+)?{PARENS}|"
-    rf"[{_GROUP}]"
+# Read from right to left, so that a match starts at a placeholder: each with what stands before
+# it, name and [previous word or array dims], as groups 1 and 2.
+_BEFORE_GROUP_REVERSED = (
+    rf"{PARENS}{_GAP}*+({_W}++)(?<=[{_LETTERS}])(?:{_GAP}*+({_W}++|{INDEX}))?|[{_GROUP}]"
 )
+# Each placeholder; what follows a parameter list up to the body as group 1.
 _BEHIND_GROUP = (
     rf"[{_GROUP}](?=[{INDEX} {COMMENT}]*+(?:throws{_GAP}[^;{_GROUP}{EMPTY_BLOCK}{SEP}]*+)?"
     rf"([;{EMPTY_BLOCK}{BLOCK}{VIRTUAL}])|)"
@@ -369,8 +369,11 @@ def _no_calls(own: Column, heads: Column) -> Column:
 def _named_groups(own_texts: Column) -> Column:
     """array<struct<kind, name, inner, tail>> of the ``name(...)`` groups."""
 
-    def in_order(pattern, group):
-        return F.regexp_extract_all(own_texts, F.lit(pattern), F.lit(group))
+    def before_groups(group):
+        found = F.regexp_extract_all(
+            F.reverse(own_texts), F.lit(_BEFORE_GROUP_REVERSED), F.lit(group)
+        )
+        return F.reverse(found)
 
     def parts(own, names, before, behind):
         numbers = F.filter(
@@ -389,8 +392,8 @@ def _named_groups(own_texts: Column) -> Column:
         return F.transform(
             wanted,
             lambda k: _group_parts(
-                F.get(before, k),
-                F.get(names, k),
+                F.reverse(F.get(before, k)),
+                F.reverse(F.get(names, k)),
                 F.substring(F.get(own, k + 1), 2, (1 << 31) - 1),
                 _tail(F.get(behind, k), F.get(own, k + 2)),
             ),
@@ -400,9 +403,9 @@ def _named_groups(own_texts: Column) -> Column:
         F.struct(
             # the text in front of the first SEP is empty
             F.split(F.substring(own_texts, 2, (1 << 31) - 1), SEP).alias("own"),
-            in_order(_BEFORE_GROUP, 2).alias("names"),
-            in_order(_BEFORE_GROUP, 1).alias("before"),
-            in_order(_BEHIND_GROUP, 1).alias("behind"),
+            before_groups(1).alias("names"),
+            before_groups(2).alias("before"),
+            F.regexp_extract_all(own_texts, F.lit(_BEHIND_GROUP), F.lit(1)).alias("behind"),
         ),
         lambda x: parts(x["own"], x["names"], x["before"], x["behind"]),
     )

@@ -156,6 +156,12 @@ def test_scopes(spark):
     assert [g[2] for g in got] == [False, False, False, False, True]
 
 
+def test_a_filled_index_before_a_name_shifts_nothing(spark):
+    got = scan(spark, ["void f(int a) { x = b[0] c(1, 2); d(3); }", "int[] f(int a) { return g()[1]; }"])
+    assert got[0][:3] == ([("f", 1)], [("c", 2), ("d", 1)], True)
+    assert got[1][:3] == ([("f", 1)], [("g", 0)], False)
+
+
 def _brackets_by_stack(code):
     stack = []
     for c in code:
