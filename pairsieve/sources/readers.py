@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import re
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -68,6 +69,16 @@ def _has(df: DataFrame, column: str) -> bool:
     return True
 
 
+def _only_rows_of_files(df: DataFrame) -> bool:
+    """False where rows may stand for several rows, or several for one of a file.
+
+    Told by the plan; a column that is named like such a step counts as one.
+    """
+    plan = df._jdf.queryExecution().analyzed().toString()
+    steps = r"\b(?:Join|Generate|Expand|Union|Aggregate|Sample)\b"
+    return _has(df, "_metadata.file_path") and not re.search(steps, plan)
+
+
 def with_row_id(df: DataFrame) -> DataFrame:
     """Add ``row_id`` and ``source_file``: rows numbered from 0 through the files in path order.
 
@@ -81,22 +92,22 @@ def with_row_id(df: DataFrame) -> DataFrame:
     """
     if ROW_ID in df.columns:
         return df
-    if not _has(df, "_metadata.file_path"):
+    if not _only_rows_of_files(df):
         return df.withColumn(SOURCE_FILE, F.lit("")).withColumn(
             ROW_ID, F.monotonically_increasing_id()
         )
     df = df.withColumn(SOURCE_FILE, F.col("_metadata.file_path"))
     if _has(df, "_metadata.row_index"):
         rows = df.withColumn("_at", F.col("_metadata.row_index"))
-        first = F.lit(0).cast("long")
+        first, rows_of = F.lit(0).cast("long"), F.max("_at") + 1
     else:
         started = F.col("_metadata.file_block_start")
         rows = df.withColumn("_block", started).withColumn("_at", F.monotonically_increasing_id())
         rows = stored_table(rows, "rows-to-number")
-        first = F.min("_at")
+        first, rows_of = F.min("_at"), F.count("*")
     parts = [SOURCE_FILE] + (["_block"] if "_block" in rows.columns else [])
     # One row per file and block.
-    sizes = rows.groupBy(*parts).agg(F.count("*").alias("_n"), first.alias("_first"))
+    sizes = rows.groupBy(*parts).agg(rows_of.alias("_n"), first.alias("_first"))
     before = Window.orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         *parts, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")

@@ -135,6 +135,16 @@ def test_row_ids_of_split_parquet_files(spark, tmp_path):
     assert [r for r, _ in found[0]] == list(range(50_000))
 
 
+def test_row_ids_stay_unique_after_filters_and_joins(spark, tmp_path):
+    path = str(tmp_path / "p")
+    spark.range(0, 1000, 1, 4).selectExpr("id AS n").write.parquet(path)
+    df = spark.read.parquet(path)
+    for made in (df.filter("n % 7 = 3"), df.union(df), df.join(df.withColumnRenamed("n", "m"))):
+        some = made.limit(3000) if "m" in made.columns else made
+        ids = [r.row_id for r in readers.with_row_id(some).collect()]
+        assert ids and len(ids) == len(set(ids))
+
+
 def _scored(spark, n=400):
     rng = random.Random(5)
     rows = []
