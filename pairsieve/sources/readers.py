@@ -87,7 +87,8 @@ def with_row_id(df: DataFrame) -> DataFrame:
     go by it stay the same. Rows that do not know their place in the file (CSV) are stored
     first; the rows of a file are read in order, so their places follow from the order of the
     numbers they got. A column ``idx`` stays a column of its own: values may repeat between
-    files or be empty. Tables that are no file scan have an empty ``source_file`` and an id that
+    files or be empty; a filter before leaves gaps in the numbers. Tables that are more than the
+    rows of files (joins, unions, aggregates) have an empty ``source_file`` and an id that
     is only unique: store the result before using it twice.
     """
     if ROW_ID in df.columns:
