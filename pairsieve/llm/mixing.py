@@ -13,10 +13,18 @@ same documents.
 
 Targets are the marginals' own shares to a power below one, renormalised, which moves weight
 from dominant values to rare ones, or weights the caller gives by value; values without one keep
-their share. Cells are few against documents; they are counted
-map-side, so a source with a third of all rows is one partial row per task, and raked on the
-cluster. The way back to the documents broadcasts the cells only after counting that they are
-under ``BROADCAST_CELLS``; beyond that they are joined by shuffle, with equal results.
+their share. The query states targets for languages and topics and the share to sample.
+
+A round scales the three marginals in turn. Rounds end once no value's sum differs from its
+target by more than ``TOLERANCE``, relative to the target (looked at after every fifth round), or
+after ``ROUNDS``, as targets that contradict each other (a value that stands in one cell only) are never met. The largest
+difference left is reported as ``target_error`` on every row.
+
+Cells are few against documents; they are counted map-side, so a source with a third of all
+rows is one partial row per task. Raking sums a marginal by group and joins the sums back: a
+language with nearly all cells is one partial row per task too. Only when the cells are
+counted to be at most ``BROADCAST_CELLS`` are they raked in one partition, without shuffles, and
+broadcast to the documents; beyond that both are shuffled, with equal results.
 
 Defined results: null source or language is the value ``unknown``; null text is empty. A
 document without words weighs nothing and takes its cell's probability. Cells without words
@@ -28,6 +36,7 @@ result.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,9 +45,17 @@ from pairsieve.llm.common import WORD, fresh, table
 from pairsieve.session import stored_table
 
 POWERS = {"source": 0.9, "lang": 0.9, "topic": 1.0}
-ROUNDS = 10
+ROUNDS = 20
+TOLERANCE = 1e-12
 BROADCAST_CELLS = 50_000
 
+# The query's targets; sources, an open list, take the power of their shares.
+GOALS = {
+    "lang": {"en": 0.5, "de": 0.2, "fr": 0.15, "es": 0.15},
+    "topic": {"prose": 0.75, "figures": 0.15, "table": 0.07, "exclamation": 0.03},
+}
+SHARE = 0.5
+
 
 def topic_of(text: Column) -> Column:
     """A coarse topic where a corpus has no such column: the form of the text."""
@@ -64,16 +81,16 @@ def n_words(text: Column) -> Column:
 
 
 def rake(cells: DataFrame, powers=None, rounds: int = ROUNDS, goals=None) -> DataFrame:
-    """Add ``weight`` to (source, lang, topic, tokens): raked share over actual share.
+    """Add ``weight`` (raked share over actual share) and ``target_error`` to the cells.
 
     ``goals``: {marginal: {value: weight above zero}}, instead of powers of the shares.
+    Cells are (source, lang, topic, tokens); those without tokens are left out.
     """
     powers = powers or POWERS
     goals = goals or {}
     if set(goals) - set(powers) or any(w <= 0 for g in goals.values() for w in g.values()):
         raise ValueError("goals need known marginals and weights above zero")
     tokens = F.col("tokens").cast("double")
-    every = Window.partitionBy()
     total = cells.agg(F.sum("tokens").cast("double").alias("total"))
     shares = cells.filter("tokens > 0").join(F.broadcast(total))  # one row
     shares = shares.select(*powers, "tokens", (tokens / F.col("total")).alias("share"))
@@ -91,14 +108,47 @@ def rake(cells: DataFrame, powers=None, rounds: int = ROUNDS, goals=None) -> Dat
             name, (F.col(f"{name}_target") / F.col("norm")).alias(f"{name}_target")
         )
         targets = targets.join(scaled, name)
-    raked = stored_table(targets.withColumn("mass", F.col("share")), "raking")
+    small = cells.count() <= BROADCAST_CELLS
+
+    def stored(df: DataFrame) -> DataFrame:
+        kept = stored_table(df, "raking")
+        return kept.coalesce(1) if small else kept
+
+    def scaled_to(raked: DataFrame, name: str) -> DataFrame:
+        goal, mass = F.col(f"{name}_target"), F.col("mass")
+        if small:  # one partition: no shuffle
+            total = F.sum("mass").over(Window.partitionBy(name))
+            return raked.withColumn("mass", mass * (goal / total))
+        sums = raked.groupBy(name).agg(F.sum("mass").alias("sum"))
+        joined = raked.join(sums, name).withColumn("mass", mass * (goal / F.col("sum")))
+        return stored(joined.select(*raked.columns))
+
+    raked = stored(targets.withColumn("mass", F.col("share")))
     for at in range(rounds):
         for name in powers:
-            scale = F.col(f"{name}_target") / F.sum("mass").over(Window.partitionBy(name))
-            raked = raked.withColumn("mass", F.col("mass") * scale)
-        if at % 5 == 4:  # short plans and lineage
-            raked = stored_table(raked, "raking")
-    return raked.select(*powers, "tokens", (F.col("mass") / F.col("share")).alias("weight"))
+            raked = scaled_to(raked, name)
+        if at % 5 == 4 or at == rounds - 1:  # short plans and lineage
+            raked = stored(raked)
+            if target_error(raked, powers) <= TOLERANCE:
+                break
+    error = target_error(raked, powers)
+    return raked.select(
+        *powers,
+        "tokens",
+        (F.col("mass") / F.col("share")).alias("weight"),
+        F.lit(error).alias("target_error"),
+    )
+
+
+def target_error(raked: DataFrame, powers) -> float:
+    """The largest difference of a value's mass from its target, relative to the target."""
+    gaps = [
+        raked.groupBy(name).agg(
+            F.abs(F.sum("mass") / F.first(f"{name}_target") - 1).alias("gap")
+        )
+        for name in powers
+    ]
+    return reduce(DataFrame.union, gaps).agg(F.max("gap")).first()[0] or 0.0
 
 
 def uniform(doc_id: Column) -> Column:
@@ -129,7 +179,7 @@ def _factor(weighed: DataFrame, share: float) -> float:
 def probabilities(
     docs: DataFrame, powers=None, rounds: int = ROUNDS, goals=None, share: float | None = None
 ) -> DataFrame:
-    """source, lang, topic, tokens, weight, probability of every cell."""
+    """source, lang, topic, tokens, weight, target_error, probability of every cell."""
     if share is not None and not 0 < share <= 1:
         raise ValueError("share is above zero and at most one")
     keys = cell_columns(docs)
@@ -149,7 +199,11 @@ def probabilities(
         )
     return stored_table(
         weighed.select(
-            *keys, "tokens", "weight", F.coalesce(chance, F.lit(1.0)).alias("probability")
+            *keys,
+            "tokens",
+            "weight",
+            "target_error",
+            F.coalesce(chance, F.lit(1.0)).alias("probability"),
         ),
         "probabilities",
     )
@@ -178,7 +232,7 @@ def sample_documents(
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    joined, cell = _with_cell(docs)
+    joined, cell = _with_cell(docs, goals=GOALS, share=SHARE)
     of = F.col(cell)
     return joined.select(
         "doc_id",
@@ -187,6 +241,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         of["topic"].alias("topic"),
         n_words(F.col("text")).alias("n_tokens"),
         F.round(of["weight"], 6).alias("weight"),
+        F.round(of["target_error"], 6).alias("target_error"),
         F.round(of["probability"], 6).alias("probability"),
         (uniform(F.col("doc_id")) < of["probability"]).alias("sampled"),
     )
@@ -194,10 +249,21 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     keys = list(POWERS)
+
+    def goal(name: str) -> str:
+        if name not in GOALS:
+            return f"pow(sum(share), {POWERS[name]})"
+        given = " ".join(f"WHEN '{v}' THEN {w}::DOUBLE" for v, w in GOALS[name].items())
+        return f"CASE {name} {given} ELSE sum(share) END"
+
     targets = ", ".join(
-        f"""{n}_t AS (SELECT {n}, pow(sum(share), {p}) AS raised FROM s GROUP BY {n}),
+        f"""{n}_t AS (SELECT {n}, {goal(n)} AS raised FROM s GROUP BY {n}),
 {n}_target AS (SELECT {n}, raised / (SELECT sum(raised) FROM {n}_t) AS target FROM {n}_t)"""
-        for n, p in POWERS.items()
+        for n in keys
+    )
+    gaps = " UNION ALL ".join(
+        f"SELECT abs(sum(mass) / first({n}_target) - 1) AS gap FROM {{last}} GROUP BY {n}"
+        for n in keys
     )
     steps, last = [], "m0"
     for i in range(ROUNDS):
@@ -224,13 +290,22 @@ m0 AS (
   SELECT s.*, share AS mass, {', '.join(f'{n}_target.target AS {n}_target' for n in keys)}
   FROM s {' '.join(f'JOIN {n}_target USING ({n})' for n in keys)}),
 {', '.join(steps)},
-w AS (SELECT source, lang, topic, mass / share AS weight,
-             (mass / share) / max(mass / share) OVER () AS p FROM {last})
+w AS (SELECT source, lang, topic, tokens, mass / share AS weight FROM {last}),
+e AS (SELECT max(gap) AS target_error FROM ({gaps.format(last=last)})),
+o AS (
+  SELECT *, {SHARE} * (SELECT sum(tokens) FROM w) - coalesce(sum(tokens) OVER (
+      ORDER BY weight DESC, source, lang, topic
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS wanted,
+    sum(tokens * weight) OVER (ORDER BY weight DESC, source, lang, topic
+      ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS mass_left
+  FROM w),
+f AS (SELECT max_by(wanted / mass_left, weight) AS factor FROM o WHERE wanted / mass_left * weight <= 1)
 SELECT doc_id, d.source, d.lang, d.topic, n_tokens, round(weight, 6) AS weight,
-  round(coalesce(p, 1.0), 6) AS probability,
+  round(CASE WHEN weight IS NOT NULL THEN target_error END, 6) AS target_error,
+  round(coalesce(least(1.0, weight * factor), 1.0), 6) AS probability,
   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0
-    < coalesce(p, 1.0) AS sampled
-FROM d LEFT JOIN w ON d.source = w.source AND d.lang = w.lang AND d.topic = w.topic"""
+    < CASE WHEN weight IS NULL THEN 1.0 ELSE least(1.0, weight * factor) END AS sampled
+FROM d LEFT JOIN w ON d.source = w.source AND d.lang = w.lang AND d.topic = w.topic, e, f"""
 
 
 QUERIES = {"op10_mix_sources": op10_mix_sources}

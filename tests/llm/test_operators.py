@@ -488,3 +488,46 @@ def test_mixing_keeps_its_share(spark):
     assert math.isclose(by["s0"].probability, 2 * by["s1"].probability, rel_tol=1e-6)
     for c in mixing.probabilities(frame, share=1.0).collect():
         assert math.isclose(c.probability, 1.0)
+
+
+def test_mixing_query_and_stray_rows(spark, tmp_path, monkeypatch):
+    rng = random.Random(2)
+    forms = ["plain words here", "a | b", "so!! it", "on 12 pages"]
+    rows = [
+        (i, " ".join([rng.choice(forms)] * 20), rng.choice(["en", "en", "de", "xx", None]), f"s{i % 3}")
+        for i in range(3000)
+    ]
+    schema = "doc_id long, text string, lang string, source string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "a/documents.parquet"))
+    stray = [(9000, "one stray | document 1", None, None), (9001, None, None, None)]
+    spark.createDataFrame(rows + stray, schema).write.parquet(str(tmp_path / "b/documents.parquet"))
+    first, second = (
+        {r.doc_id: r for r in mixing.op10_mix_sources(spark, str(tmp_path / f)).collect()} for f in "ab"
+    )
+    assert len(second) == len(first) + 2
+    alone = second.pop(9001)  # a cell without words
+    assert alone.weight is None and alone.probability == 1 and alone.sampled
+    assert all(r.target_error == 0 for r in [*first.values(), *second.values()])
+    changed = sum(first[i].sampled != second[i].sampled for i in first)
+    assert changed < 0.01 * sum(r.sampled for r in first.values())
+    # Targets are met, relative to each other, by languages that are given one.
+    by = defaultdict(float)
+    for r in first.values():
+        by[r.lang] += r.n_tokens * r.weight
+    goals = mixing.GOALS["lang"]
+    assert math.isclose(by["en"] / by["de"], goals["en"] / goals["de"], rel_tol=1e-4)
+    # The shuffled form for many cells gives the same.
+    monkeypatch.setattr(mixing, "BROADCAST_CELLS", 0)
+    monkeypatch.setattr(mixing, "ROUNDS", 20)
+    for r in mixing.op10_mix_sources(spark, str(tmp_path / "a")).collect():
+        assert r.sampled == first[r.doc_id].sampled
+        assert math.isclose(r.weight, first[r.doc_id].weight, abs_tol=2e-6)
+
+
+def test_mixing_contradicting_targets(spark):
+    """A value that stands in one cell only: the rounds end and the error is reported."""
+    rows = [(0, "words " * 9, "en", "a"), (1, "words " * 9, "de", "b")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    goals = {"lang": {"en": 0.9, "de": 0.1}, "source": {"a": 0.1, "b": 0.9}}
+    cells = mixing.probabilities(frame, goals=goals).collect()
+    assert len(cells) == 2 and all(c.target_error > 0.5 for c in cells)
