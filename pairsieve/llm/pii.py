@@ -3,19 +3,24 @@
 *Base spans* are the matches of four fixed patterns (email, ip, card, phone) that pass a check
 of their numbers. *Generators* of high recall propose more spans, which may overlap: addresses
 with a written-out "at", groups of digits with any separators, phone-like groups without a
-plus. Every candidate and base span gets features of its format (digits, separators, checks,
-length) and context (neighbouring characters, cue words).
-
-The trees learn which formats and contexts make a span of a kind, over all documents. What
-tells a base pattern from a generator ("@", "+", the kind of separators) is no feature. Base spans
-are positives of their kind. Negatives are matches that fail the kind's check (numbers, or how an
-address is spelled). Candidates that pass it and are no base spans have no label: they are
-not trained on, and their score decides. All features are small codes, so the training set is a table of distinct feature
-rows with two counts and two folds; its size is bounded by the product of the code ranges and
-does not grow with the corpus. It is all that reaches the driver. Trees become one column
-expression. For each kind the threshold is the smallest score from which on the labelled
-matches in the held-out fold are base spans with ``PRECISION``, half way to the next score
-below. A kind without base spans adds none. Unlabelled candidates over their
+plus. Every candidate and base span gets features of its format (digits, parts, last part,
+capitals) and context (neighbouring characters, cue words, digits before it).
+
+The trees learn which formats and contexts make a span of a kind, over all documents. Labels come
+from what no feature holds. Base spans are positives of their kind. Negatives are matches whose
+numbers fail the kind's check (Luhn, octets, number of digits, part of a longer number), lists
+with commas, and "at" with a sentence's end behind it. Neither the check nor what tells a base
+pattern from a generator ("@", "+", the kind of separators) is a feature, so the trees have to tell
+both sides by format and context. Candidates that do not fail and are no base spans have no
+label: they are not trained on, and their score decides. Labelled negatives are never added.
+
+All features are small codes, so the training set is a table of distinct feature
+rows with two counts and two folds; its size is bounded by the product of the code ranges
+(147,456 rows of counts) and does not grow with the corpus. It is all that reaches the driver. Trees
+become one column expression. For each kind the threshold is the smallest score from which on the
+labelled matches in the held-out fold are base spans with ``PRECISION``, half way to the next score
+below, and never under even odds; a kind whose contexts do not tell its base spans from failing matches adds none, nor does
+a kind without base spans. Unlabelled candidates over their
 threshold that touch no base span, longest and then best first, are added; base spans always stay.
 
 Patterns start at the first character of a run or behind the previous match and repeat
@@ -61,11 +66,18 @@ GENERATORS = {
 }
 # A character every match of a pattern has, to pass over texts without it quickly.
 _NEEDS = {"email": "@", "phone": "+"}
-CUES = "(?i)(?:mail|phone|tel|fax|call|card|visa|account|konto|addr|\\bip\\b|host)[^\\n]{0,20}$"
+# Words before a span that speak of a kind.
+CUES = {
+    "email": "mail|contact|write|addr",
+    "ip": r"\bip\b|host|server|addr",
+    "card": "card|visa|account|konto",
+    "phone": "phone|tel|fax|call|mobile",
+}
 PRECISION = 0.99
 ROUNDS, RATE = 40, 0.3
 FEATURES = {
-    "kind": 4, "digits": 8, "check": 2, "cue": 2, "left": 4, "right": 4, "length": 5,
+    "kind": 4, "cue": 3, "digits": 8, "nearby": 3, "left": 4, "right": 4, "parts": 4, "last": 4,
+    "upper": 2,
 }
 
 
@@ -158,32 +170,42 @@ def _spans(matches: DataFrame) -> DataFrame:
             .otherwise(3)
         )
 
-    cue = F.col("before").rlike(CUES)
-    value = F.col("value")
-    # A written-out "at" or a list of numbers alone is ordinary text.
-    spoken = value.rlike(r"(?i)(\(|\[)(at|dot)(\)|\])") | cue & ~value.rlike(r"\. | \.")
-    check = (
-        F.when(F.col("source") == "spoken_email", spoken & value.rlike("[A-Za-z]{2,}$"))
-        .when(F.col("source") == "spaced_ip", _octets("value") & (cue | ~value.contains(",")))
-        .when(F.col("source") == "digits", n.between(12, 19) & luhn(F.col("figures")))
+    value, before, after = F.col("value"), F.col("before"), F.coalesce("after", F.lit(""))
+    cues = {k: before.rlike(f"(?i)(?:{words})[^\\n]{{0,20}}$") for k, words in CUES.items()}
+    own = F.lit(False)
+    for name, found in cues.items():
+        own = F.when(kind == name, found).otherwise(own)
+    other = before.rlike(f"(?i)(?:{'|'.join(CUES.values())})[^\\n]{{0,20}}$")
+    # Base spans are no failures; neither are base matches that pass their check.
+    bare = value.contains(" at ")
+    fails = (
+        F.when(F.col("source") == "spoken_email", bare & value.rlike(r"\. | \.") | value.rlike("[^A-Za-z][A-Za-z]?$"))
+        .when(F.col("source") == "spaced_ip", ~_octets("value") | value.contains(","))
+        .when(F.col("source") == "digits", ~(n.between(12, 19) & luhn(F.col("figures"))))
         .when(
-            F.col("source") == "local_phone",
-            n.between(9, 15)
-            & ~F.coalesce("after", F.lit("")).rlike(r"^[\x20.-][0-9]")  # part of a longer number
-            & (cue | value.rlike(r"^(\(|[0-9]+-[0-9]+-|[0-9]+\.[0-9]+\.)")),
+            F.col("source") == "local_phone", ~n.between(9, 15) | after.rlike(r"^[\x20.-][0-9]")
         )
-        .otherwise(good)
-    )
+        .otherwise(~good)
+    )
+    plain = F.regexp_replace(value, r"(?i) ?(?:[(\[]at[)\]]| at ) ?", "@")
+    plain = F.regexp_replace(plain, r"(?i) ?[(\[]dot[)\]] ?", ".")
+    # An address counts by its domain, whatever stands before the "@".
+    parts = F.regexp_extract_all(F.substring_index(plain, "@", -1), F.lit("[0-9A-Za-z]+"), F.lit(0))
+    last = F.coalesce(F.get(parts, F.size(parts) - 1), F.lit(""))
+    near = F.length(F.regexp_replace("before", "[^0-9]", ""))
+    email = kind == "email"
     codes = {
         "kind": F.array_position(F.array(*map(F.lit, KINDS)), kind) - 1,
-        "digits": F.when(n == 0, 0).when(n < 9, 1).when(n < 12, 2).when(n < 13, 3)
+        "cue": F.when(own, 2).when(other, 1).otherwise(0),
+        "digits": F.when(email, 0).when(n < 9, 1).when(n < 12, 2).when(n < 13, 3)
         .when(n < 16, 4).when(n < 17, 5).when(n < 20, 6).otherwise(7),
-        "check": check.cast("int"),
-        "cue": cue.cast("int"),
+        "nearby": F.when(near == 0, 0).when(near < 5, 1).otherwise(2),
         "left": beside(F.right("before", F.lit(1))),
-        "right": beside(F.left(F.coalesce("after", F.lit("")), F.lit(1))),
-        "length": F.when(F.col("size") < 8, 0).when(F.col("size") < 13, 1)
-        .when(F.col("size") < 17, 2).when(F.col("size") < 24, 3).otherwise(4),
+        "right": beside(F.left(after, F.lit(1))),
+        "parts": F.least(F.size(parts), F.lit(4)) - 1,
+        "last": F.when((kind == "ip") | (F.length(last) < 2), 0).when(F.length(last) < 4, 1)
+        .when(F.length(last) < 5, 2).otherwise(3),
+        "upper": last.rlike("[A-Z]").cast("int"),
     }
     return placed.select(
         "row",
@@ -192,6 +214,7 @@ def _spans(matches: DataFrame) -> DataFrame:
         (F.col("end") - F.col("size")).alias("start"),
         "end",
         good.alias("base"),
+        fails.alias("fails"),
         *[c.cast("int").alias(f"f_{k}") for k, c in codes.items()],
     )
 
@@ -199,11 +222,11 @@ def _spans(matches: DataFrame) -> DataFrame:
 def _labelled(spans: DataFrame) -> DataFrame:
     """Spans with ``label`` and a fold by row.
 
-    The label is true where place and kind are a base span's, false where the check fails, and
-    null for other candidates.
+    The label is true where place and kind are a base span's, false for matches that fail,
+    and null for other candidates.
     """
     same = Window.partitionBy("row", "kind", "start", "end")
-    label = F.when(F.max("base").over(same), True).when(F.col("f_check") == 0, False)
+    label = F.when(F.max("base").over(same), True).when(F.col("fails"), False)
     return spans.withColumn("label", label).withColumn(
         "fold", F.pmod(F.xxhash64("row"), F.lit(5)) == 0
     )
@@ -290,7 +313,9 @@ def thresholds(rows: list[dict], trees, precision: float = PRECISION) -> dict[in
             if below < score and pos and pos >= precision * (pos + neg):
                 # Without a score below, the log-odds of the precision asked for.
                 sure = min(score, math.log(precision / (1 - precision)))
-                found[kind] = sure if below == -math.inf else (score + below) / 2
+                limit = sure if below == -math.inf else (score + below) / 2
+                # Few held-out matches say little: never below even odds.
+                found[kind] = max(limit, 0.0)
     return found
 
 
@@ -301,8 +326,8 @@ def _tree_column(tree) -> str:
     return f"CASE WHEN f_{f} <= {limit} THEN {_tree_column(low)} ELSE {_tree_column(high)} END"
 
 
-def train(labelled: DataFrame):
-    """Trees and thresholds from counts of feature rows over all documents."""
+def feature_counts(labelled: DataFrame) -> list[dict]:
+    """Distinct feature rows of labelled spans with their counts in the two folds."""
     codes = [F.col(f"f_{k}").alias(k) for k in FEATURES]
     yes = {"pos": "label", "neg": "not label"}
     counts = [F.count_if(F.expr(f"{v} and not fold")).alias(k) for k, v in yes.items()]
@@ -310,11 +335,29 @@ def train(labelled: DataFrame):
     # At most the product of the code ranges, however large the corpus.
     labelled = labelled.filter("label is not null")
     rows = labelled.groupBy(*codes).agg(*counts).orderBy(*FEATURES).collect()
-    rows = [r.asDict() for r in rows]
+    return [r.asDict() for r in rows]
+
+
+def train(labelled: DataFrame):
+    """Trees and thresholds from counts of feature rows over all documents."""
+    rows = feature_counts(labelled)
     trees = boost(rows) if rows else []
     return trees, thresholds(rows, trees)
 
 
+def held_out(rows: list[dict], trees, limits: dict[int, float]) -> dict[str, tuple[int, int, int]]:
+    """By kind: base spans over the threshold, failing matches over it, and all base spans of
+    the held-out fold."""
+    found = {k: [0, 0, 0] for k in KINDS}
+    for row in rows:
+        own = found[KINDS[row["kind"]]]
+        own[2] += row["pos_held"]
+        if sum(_value(t, row) for t in trees) >= limits.get(row["kind"], math.inf):
+            own[0] += row["pos_held"]
+            own[1] += row["neg_held"]
+    return {k: tuple(v) for k, v in found.items()}
+
+
 def added_spans(labelled: DataFrame, trees, limits: dict[int, float]) -> DataFrame:
     """Candidates over their threshold that touch no base span and no better candidate."""
     if not trees or not any(map(math.isfinite, limits.values())):

@@ -457,6 +457,64 @@ def test_generators_add_spans(spark):
     }
 
 
+def test_context_decides(spark):
+    """Candidates of one spelling, all passing the check: the context tells them apart."""
+    texts = [f"pay by card 4111 1111 1111 1111 today, number {i}" for i in range(60)]
+    texts += [f"pallet 4111 1111 1111 1112 in hall, number {i}" for i in range(60)]
+    texts += ["pay by card 4111.1111.1111.1111 today", "pallet 4111.1111.1111.1111 in hall"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids, found = pii.find_spans(frame)
+    assert [r.doc_id for r in ids.join(found.filter("not base"), "row").collect()] == [120]
+
+
+def test_trees_learn_from_several_features():
+    """Labels that need three features; none equals the label."""
+    rng = random.Random(4)
+    rows = {}
+    for _ in range(20_000):
+        row = {name: rng.randrange(n) for name, n in pii.FEATURES.items()} | {"kind": 2}
+        for unused in ("parts", "last", "upper", "digits", "left", "right"):
+            row[unused] = row[unused] % 2
+        odds = (row["cue"] == 2) + (row["nearby"] == 0) + (row["left"] == 1)
+        label = rng.random() < (0.02, 0.1, 0.9, 0.999)[odds]
+        counts = rows.setdefault(tuple(row.values()), row | dict.fromkeys(("pos", "neg", "pos_held", "neg_held"), 0))
+        counts[("pos" if label else "neg") + ("_held" if rng.random() < 0.2 else "")] += 1
+    rows = list(rows.values())
+    trees = pii.boost(rows)
+
+    def used(tree):
+        return {tree[0]} | used(tree[2]) | used(tree[3]) if isinstance(tree, tuple) else set()
+
+    assert {"cue", "nearby", "left"} <= set().union(*map(used, trees))
+    limits = pii.thresholds(rows, trees)
+    right, wrong, every = pii.held_out(rows, trees, limits)["card"]
+    # Two of three marks are 90 % sure, short of the precision asked for; all three suffice.
+    sure = [r for r in rows if r["cue"] == 2 and r["nearby"] == 0 and r["left"] == 1]
+    assert right == sum(r["pos_held"] for r in sure) < every and right >= 0.99 * (right + wrong)
+
+
+def test_pii_query(spark, tmp_path):
+    texts = [
+        "é mail a@b.cd, ip 10.0.0.1 card 4111 1111 1111 1111 call +1 (234) 555-0199 x@y.z 300.1.1.1", None, "", "none",
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    frame.union(frame.limit(1)).withColumn("kind", F.lit("x")).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(pii.op9_pii(spark, str(tmp_path)).collect(), key=lambda r: (r.doc_id, r.spans))
+    assert [r.doc_id for r in got] == [0, 0, 1, 2, 3]
+    want = []
+    for kind, value in [("email", "a@b.cd"), ("ip", "10.0.0.1"), ("card", "4111 1111 1111 1111"),
+                        ("phone", "+1 (234) 555-0199"), ("email", "x@y.z")]:
+        at = texts[0].index(value)
+        want.append(f"{kind}:{at}:{at + len(value)}")
+    for r in got[:2]:
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == (2, 1, 1, 1)
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert [s for s in r.spans.split(",") if s in want] == want
+    for r in got[2:]:
+        assert r.spans == "" and r.base_sha256 == hashlib.sha256(b"").hexdigest()
+        assert r.n_email == r.n_ip == r.n_card == r.n_phone == 0
+
+
 def test_mixing(docs, rows, empty):
     cells = mixing.probabilities(docs).collect()
     total = sum(c.tokens for c in cells)
