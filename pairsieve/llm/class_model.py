@@ -1,9 +1,10 @@
 """Language-model scores from Brown classes: class transitions and word emissions.
 
 Words that occur ``MIN_COUNT`` times or more in the training texts, however large these are,
-are put in ``CLASSES`` classes by exchange clustering: every word has counts of what stands left and right of it,
-and moves, round after round, to the class under whose context distribution its own contexts
-are likeliest, which raises the mutual information of classes and contexts. Contexts are
+are put in ``CLASSES`` classes by batched reassignment: every word has counts of what stands left
+and right of it, and all words move at once, round after round, to the class under whose context
+distribution their own contexts are likeliest. This is not Brown's exchange: no move is valued by
+the likelihood of the class bigrams, which is not watched either. Contexts are
 counted by the neighbours' *forms* (the last letters or marks of a word). Rarer and unknown
 words are in the class of their form. A text's probability is the product over its tokens of
 

@@ -7,7 +7,9 @@ stored vectors, and pruning by distance applies.
 A shard's graph is built by inserting its vectors in batches that double in size. A greedy
 search over the graph so far proposes neighbours; relaxed distance pruning keeps, nearest
 first, those not ``ALPHA`` times closer to one already kept, up to ``DEGREE``; the kept ones
-get an edge back, pruned again when they have too many. A query runs a beam search over every
+get an edge back, pruned again when they have too many. Of more than twice ``DEGREE`` new edges
+to one node in a batch the first that many are pruned from; the others get no edge back, which
+can cost recall near such a hub and was not measured there. A query runs a beam search over every
 shard's graph, and the best of all shards are scored again in double precision on the
 original vectors.
 
