@@ -11,17 +11,19 @@ from pairsieve.plans.checks.documents import ACCENTS
 from pairsieve.plans.checks.tables import document_patterns, registry, table
 from pairsieve.functions import code_structure as cs
 from pairsieve.operators.rules import SYNTAX, Rule, first_match
-from pairsieve.session import shared_folder
+from pairsieve.session import folder_exists, shared_folder
 from pairsieve.streaming import clean as streams
 
 QUERIES, ORACLES, query = registry()
 
 
 def _stream(spark, sf_dir, name):
+    """The table as a stream, be it one file or a folder of files.
+
+    A file stream takes folders and patterns, no single file: the path is written as a pattern.
+    """
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(
-        sf_dir
-    )
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def _drain(df, mode):
@@ -77,6 +79,8 @@ def stream_clean_joined_dictionary(spark, sf_dir):
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     docs = _stream(spark, sf_dir, "documents").select("doc_id", "text")
     streams.start_batches(docs, kept, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
+    if not folder_exists(spark, f"{folder}/rows"):  # no file, no batch
+        return spark.createDataFrame([], docs.select("doc_id").schema)
     return spark.read.parquet(f"{folder}/rows").select("doc_id")
 
 
