@@ -87,7 +87,7 @@ def case_sql(names):
 
 
 def _scanned(spark, sf_dir):
-    pairs = code_pairs(spark, sf_dir).select("row_id", "src_fm", "target")
+    pairs = code_pairs(spark, sf_dir, spread=True).select("row_id", "src_fm", "target")
     return scanned_once(
         pairs, {"src": cs.scan_code(F.col("src_fm")), "tgt": cs.scan_code(F.col("target"))}
     )
@@ -193,7 +193,7 @@ def code_tokens(spark, sf_dir):
 
 def _labelled(spark, sf_dir):
     return label_pairs(
-        code_pairs(spark, sf_dir), one_pattern(spark),
+        code_pairs(spark, sf_dir, spread=True), one_pattern(spark),
         RuleOptions(coverage_threshold=THRESHOLD),
     )
 
@@ -225,7 +225,8 @@ def clean_text_pairs_counts(spark, sf_dir):
 
 def _with_rules(spark, sf_dir):
     options = RuleOptions(coverage_threshold=THRESHOLD, first_match_only=False)
-    prepared = with_structure(code_pairs(spark, sf_dir), one_pattern(spark), options)
+    pairs = code_pairs(spark, sf_dir, spread=True)
+    prepared = with_structure(pairs, one_pattern(spark), options)
     return prepared, standard_rules(prepared, options)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairsieve.functions.text import TOKEN
+from pairsieve.session import spread_counted
 
 NAMES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
@@ -157,12 +158,13 @@ FROM (SELECT doc_id AS row_id, doc_id AS n, doc_id % 13 AS k,
 PATTERN = "@GetMapping("
 
 
-def code_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def code_pairs(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """The pairs; ``spread``: dealt by their number, for queries that scan every pair's texts."""
     literal = CODE_PAIRS.replace("{", "{{").replace("}", "}}")
-    return spark.sql(
-        literal.replace("FROM orders", "FROM {orders}"),
-        orders=table(spark, sf_dir, "orders"),
-    )
+    orders = table(spark, sf_dir, "orders")
+    if spread:
+        orders = spread_counted(orders.select("o_orderkey", "o_orderstatus"))
+    return spark.sql(literal.replace("FROM orders", "FROM {orders}"), orders=orders)
 
 
 def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,6 +63,21 @@ def spread_rows(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
+# Narrow rows that one task gets of work that takes up to a millisecond per row.
+ROWS_PER_TASK = 50_000
+
+
+def spread_counted(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Narrow rows dealt to as many tasks as their number calls for, one per core at least.
+
+    One split of a file may hold millions of narrow rows, so its bytes do not tell how long a
+    task takes. For columns of a table as it is read: the rows are counted first (which reads
+    no column of a Parquet file), and shuffled before wide texts are made of them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, -(-df.count() // rows_per_task)))
+
+
 # Below this many bytes per core an input counts as small for work bound by computation.
 SMALL_PER_CORE = 8 << 20
 
