@@ -26,6 +26,10 @@ from pairsieve.llm.common import table
 from pairsieve.llm.pieces import character_offsets, encoder, slices
 
 
+# Bytes of text encoded at a time: a worker's peak is some hundred bytes for each of its tokens.
+PART = 2_000_000
+
+
 def vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
     import public_tokenizers
 
@@ -46,7 +50,7 @@ class StreamDecoder:
 def _parts(batch: pa.RecordBatch, path: str):
     """(first row, texts, ids, counts) for slices of a batch."""
     texts = batch.column("text")
-    for a, b in slices(texts):
+    for a, b in slices(texts, PART):
         part = texts.slice(a, b - a)
         yield a, part, *encoder(path).encode(part)
 
