@@ -64,6 +64,8 @@ class RuleOptions:
     # ready before, so that several tables share the work.
     dictionary_form: str | None = None
     keyed: Keyed | None = None
+    # Deal a small input to all cores. False: the rows have been dealt, by their number say.
+    spread: bool = True
 
 
 def below_threshold(value: Column, threshold: float) -> Column:
@@ -82,23 +84,25 @@ def with_structure(
         src, target = F.coalesce(src, F.lit("nan")), F.coalesce(target, F.lit("nan"))
     wanted = "unnecessary_annotations" not in options.disabled and SYNTAX in options.stages
     df = with_hit_flag(
-        df, SRC, patterns if wanted else None, "_hit", options.dictionary_form, options.keyed
+        df, SRC, patterns if wanted else None, "_hit", options.dictionary_form, options.keyed,
+        options.spread,
     )
     scan_src, scan_target = cs.scan_code(src), cs.scan_code(target)
     if options.first_match_only:
         scan_src = F.when(~F.col("_hit"), scan_src)
         scan_target = F.when(~F.col("_hit"), scan_target)
-    return scanned_once(df, {"_src": scan_src, "_tgt": scan_target})
+    return scanned_once(df, {"_src": scan_src, "_tgt": scan_target}, options.spread)
 
 
-def scanned_once(df: DataFrame, scans: dict[str, Column]) -> DataFrame:
+def scanned_once(df: DataFrame, scans: dict[str, Column], spread: bool = True) -> DataFrame:
     """Add costly columns behind a generator of one row.
 
     Filters on what derives from them cannot move below a generator, where the optimizer
     would otherwise copy the whole scan into the filter condition and run it again.
+    ``spread``: deal a small input to all cores first.
     """
     row = F.struct(*[c.alias(name) for name, c in scans.items()])
-    return spread_small(df).select("*", F.inline(F.array(row)))
+    return (spread_small(df) if spread else df).select("*", F.inline(F.array(row)))
 
 
 def standard_rules(df: DataFrame, options: RuleOptions) -> list[Rule]:

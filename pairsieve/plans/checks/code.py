@@ -86,33 +86,36 @@ def case_sql(names):
     return "CASE " + " ".join(f"WHEN {n} THEN '{n}'" for n in names) + " END"
 
 
-def _scanned(spark, sf_dir):
-    pairs = code_pairs(spark, sf_dir, spread=True).select("row_id", "src_fm", "target")
-    return scanned_once(
-        pairs, {"src": cs.scan_code(F.col("src_fm")), "tgt": cs.scan_code(F.col("target"))}
-    )
+def _scanned(spark, sf_dir, **texts):
+    """The pairs with a scan per name of a text column, dealt by their number."""
+    pairs = code_pairs(spark, sf_dir, spread=True).select("row_id", *texts.values())
+    scans = {name: cs.scan_code(F.col(column)) for name, column in texts.items()}
+    return scanned_once(pairs, scans, spread=False)
 
 
 @query(f"{WITH_FLAGS} SELECT row_id, syntax_error AS flag FROM flags")
 def grammar_error(spark, sf_dir):
-    return _scanned(spark, sf_dir).select(
+    return _scanned(spark, sf_dir, src="src_fm", tgt="target").select(
         "row_id", (cs.grammar_error(F.col("src")) | cs.grammar_error(F.col("tgt"))).alias("flag")
     )
 
 
 @query(f"{WITH_FLAGS} SELECT row_id, empty_exception AS flag FROM flags")
 def empty_handler(spark, sf_dir):
-    return _scanned(spark, sf_dir).select("row_id", cs.empty_handler(F.col("src")).alias("flag"))
+    scanned = _scanned(spark, sf_dir, src="src_fm")
+    return scanned.select("row_id", cs.empty_handler(F.col("src")).alias("flag"))
 
 
 @query(f"{WITH_FLAGS} SELECT row_id, empty_method AS flag FROM flags")
 def empty_method(spark, sf_dir):
-    return _scanned(spark, sf_dir).select("row_id", cs.empty_method(F.col("src")).alias("flag"))
+    scanned = _scanned(spark, sf_dir, src="src_fm")
+    return scanned.select("row_id", cs.empty_method(F.col("src")).alias("flag"))
 
 
 @query(f"{WITH_FLAGS} SELECT row_id, ambiguous_type AS flag FROM flags")
 def ambiguous_type(spark, sf_dir):
-    return _scanned(spark, sf_dir).select("row_id", cs.ambiguous_type(F.col("src")).alias("flag"))
+    scanned = _scanned(spark, sf_dir, src="src_fm")
+    return scanned.select("row_id", cs.ambiguous_type(F.col("src")).alias("flag"))
 
 
 @query(f"WITH {PAIRS} SELECT row_id, regexp_matches(src_fm, '{CJK}') OR "
@@ -128,7 +131,7 @@ def non_english_code(spark, sf_dir):
 FROM s_groups WHERE kind = 'declaration' GROUP BY ALL""")
 def declared_methods(spark, sf_dir):
     return (
-        _scanned(spark, sf_dir)
+        _scanned(spark, sf_dir, src="src_fm")
         .select("row_id", F.inline(cs.declared_methods(F.col("src"))))
         .groupBy("row_id", "name", F.col("arity").cast("long").alias("arity"))
         .agg(F.count("*").alias("n"))
@@ -139,7 +142,7 @@ def declared_methods(spark, sf_dir):
 count(*) AS n FROM t_groups WHERE kind = 'invocation' GROUP BY ALL""")
 def invoked_methods(spark, sf_dir):
     return (
-        _scanned(spark, sf_dir)
+        _scanned(spark, sf_dir, tgt="target")
         .select("row_id", F.inline(cs.invoked_methods(F.col("tgt"))))
         .groupBy("row_id", "name", F.col("arity").cast("long").alias("arity"))
         .agg(F.count("*").alias("n"))
@@ -174,7 +177,7 @@ def invoked_in_scripts(spark, sf_dir):
       INTERSECT SELECT id, name, arity FROM t_groups WHERE kind = 'invocation') GROUP BY id)
 SELECT row_id, coalesce(score, 0) AS score FROM pairs LEFT JOIN scores ON id = row_id""")
 def relevance_score(spark, sf_dir):
-    return _scanned(spark, sf_dir).select(
+    return _scanned(spark, sf_dir, src="src_fm", tgt="target").select(
         "row_id",
         cs.relevance_score(F.col("src"), F.col("tgt")).cast("long").alias("score"),
     )
@@ -194,7 +197,7 @@ def code_tokens(spark, sf_dir):
 def _labelled(spark, sf_dir):
     return label_pairs(
         code_pairs(spark, sf_dir, spread=True), one_pattern(spark),
-        RuleOptions(coverage_threshold=THRESHOLD),
+        RuleOptions(coverage_threshold=THRESHOLD, spread=False),
     )
 
 
@@ -224,7 +227,9 @@ def clean_text_pairs_counts(spark, sf_dir):
 
 
 def _with_rules(spark, sf_dir):
-    options = RuleOptions(coverage_threshold=THRESHOLD, first_match_only=False)
+    options = RuleOptions(
+        coverage_threshold=THRESHOLD, first_match_only=False, spread=False
+    )
     pairs = code_pairs(spark, sf_dir, spread=True)
     prepared = with_structure(pairs, one_pattern(spark), options)
     return prepared, standard_rules(prepared, options)
@@ -387,7 +392,7 @@ FROM pairs LEFT JOIN t_groups ON id = row_id GROUP BY row_id""")
 def assertion_score(spark, sf_dir):
     calls = cs.invoked_methods(F.col("tgt"))
     asserts = F.filter(calls, lambda c: F.startswith(c["name"], F.lit("assert")))
-    return _scanned(spark, sf_dir).select(
+    return _scanned(spark, sf_dir, tgt="target").select(
         "row_id",
         F.size(asserts).cast("long").alias("assertions"),
         F.size(calls).cast("long").alias("calls"),
