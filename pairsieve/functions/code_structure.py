@@ -21,6 +21,8 @@ The flags and lists (`grammar_error`, `declared_methods`, ...) read the scan str
 
 from __future__ import annotations
 
+from string import ascii_letters, digits
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,9 +39,10 @@ SEP, VIRTUAL = chr(14), chr(15)
 _HIDDEN = r"""\\[\\"']|[\x01-\x08\x0e-\x1f]"""
 
 # Characters of a name. All of non-ASCII counts as letters: cheaper to test than the
-# Unicode letter classes, and other non-ASCII characters are illegal there anyway.
-_LETTERS = r"A-Za-z_$\u0080-\uffff"
-_WORD = rf"{_LETTERS}0-9"
+# Unicode letter classes, and other non-ASCII characters are illegal there anyway. The matcher
+# looks single characters up in one table, but tries ranges one after the other.
+_LETTERS = ascii_letters + r"_$\u0080-\uffff"
+_WORD = digits + _LETTERS
 _W = rf"[{_WORD}]"
 _GAP = rf"[ {COMMENT}]"
 
@@ -121,23 +124,26 @@ _OPERAND = rf"(?!instanceof(?!{_W}))[{_WORD}{LITERAL}]"
 _OPERATOR = r"(?:\+(?<!\+\+)|-(?<!--)|\*(?<!\.\*)|[/%&|^=<!~]|\.(?<![.0-9]\.))"
 # The automaton of grammar errors that leave brackets balanced, over the groups' own texts
 # (comments and white space as one blank). What a word is follows last: most words fail before.
+# All that starts at a word stands behind one look for its start.
 MALFORMED = "|".join(
     [
-        # an operand beside an operand
-        rf"[0-9](?<![{_WORD}.][0-9])[{_WORD}.]*+ {_OPERAND}",
-        rf"[{LITERAL}{INDEXED}] ?{_OPERAND}",
-        rf"(?<!{_W})(?={_W}++ [0-9{LITERAL}])(?!{_KEYWORD})[{_LETTERS}]",
+        rf"(?=[{_LETTERS}])(?<!{_W})(?:"
+        # an operand behind a word that is no keyword
+        rf"(?={_W}++ [{digits}{LITERAL}])(?!{_KEYWORD})|"
         # three words in a row of which none is a keyword, or two after a primitive type
-        rf"(?<![{_WORD}.])(?={_W}++ {_W}++ [{_LETTERS}])"
-        rf"(?:(?!{_KEYWORD})|(?=(?:{'|'.join(PRIMITIVES)}) ))[{_LETTERS}]{_W}*+ "
-        rf"(?!{_KEYWORD})[{_LETTERS}]{_W}*+ (?!{_KEYWORD})",
-        # an operator without its second operand, a comma at the end of a list in brackets
-        rf"{_OPERATOR} ?[;,{SEP}]",
-        rf"{SEP}[(\[][^{SEP}]*+(?<=, ?)",
+        rf"(?<!\.)(?={_W}++ {_W}++ [{_LETTERS}])"
+        rf"(?:(?!{_KEYWORD})|(?=(?:{'|'.join(PRIMITIVES)}) )){_W}++ "
+        rf"(?!{_KEYWORD})[{_LETTERS}]{_W}*+ (?!{_KEYWORD})|"
         # a condition without its brackets
-        rf"(?<![{_WORD}.])(?:if|for|while|switch|catch)(?!{_W}) ?+(?!{PARENS})",
-        # a last statement without its end
-        rf"{SEP}{_STATEMENTS}[^{SEP}]*+(?<![;:{BLOCK}{EMPTY_BLOCK}{_STATEMENTS}] ?)",
+        rf"(?<!\.)(?:if|for|while|switch|catch)(?!{_W}) ?+(?!{PARENS}))",
+        # an operand beside an operand
+        rf"[{digits}](?<![{_WORD}.][{digits}])[{_WORD}.]*+ {_OPERAND}",
+        rf"[{LITERAL}{INDEXED}] ?{_OPERAND}",
+        # an operator without its second operand
+        rf"(?=[+\-*/%&|^=<!~.]){_OPERATOR} ?[;,{SEP}]",
+        # a comma at the end of a list in brackets, a last statement without its end
+        rf"{SEP}(?:[(\[][^{SEP}]*+(?<=, ?)|"
+        rf"{_STATEMENTS}[^{SEP}]*+(?<![;:{BLOCK}{EMPTY_BLOCK}{_STATEMENTS}] ?))",
     ]
 )
 
@@ -147,8 +153,12 @@ def _rep(col: Column, pattern: str, replacement: str) -> Column:
 
 
 def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it several times inside a lambda."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    """Evaluate ``value`` once and use it several times inside a lambda.
+
+    The value is what an aggregate of no elements ends with: unlike elements of an array, neither
+    it nor the result is copied.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda v, _: v, body)
 
 
 def mask_code(code: Column) -> Column:
