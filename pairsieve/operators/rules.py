@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairsieve.functions import code_structure as cs
-from pairsieve.operators.dictionary import Keyed, with_hit_flag
+from pairsieve.operators.dictionary import Windowed, with_hit_flag
 from pairsieve.session import spread_small
 from pairsieve.sources.schema import LABEL, ROW_ID, SRC, TARGET
 
@@ -63,7 +63,7 @@ class RuleOptions:
     # How the dictionary rule runs ('local' or 'join'; None: by size), and a dictionary made
     # ready before, so that several tables share the work.
     dictionary_form: str | None = None
-    keyed: Keyed | None = None
+    keyed: Windowed | None = None
     # Deal a small input to all cores. False: the rows have been dealt, by their number say.
     spread: bool = True
 

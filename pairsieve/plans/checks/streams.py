@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from pairsieve.operators.dictionary import keyed_dictionary, with_hit_flag
+from pairsieve.operators.dictionary import with_hit_flag, windowed_dictionary
 from pairsieve.plans.checks.documents import ACCENTS
 from pairsieve.plans.checks.tables import document_patterns, registry, table
 from pairsieve.functions import code_structure as cs
@@ -69,7 +69,7 @@ def stream_clean(spark, sf_dir):
 def stream_clean_joined_dictionary(spark, sf_dir):
     """As ``stream_clean``, with the form for dictionaries over the bounds, batch by batch."""
     patterns = document_patterns(spark, sf_dir)
-    keyed = keyed_dictionary(patterns)
+    keyed = windowed_dictionary(patterns)
 
     def kept(docs):
         flagged = with_hit_flag(docs, "text", patterns, "_hit", "join", keyed)

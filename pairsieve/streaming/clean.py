@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pairsieve.operators.dedup import key_digest
-from pairsieve.operators.dictionary import fits_bounds, keyed_dictionary
+from pairsieve.operators.dictionary import fits_bounds, windowed_dictionary
 from pairsieve.operators.rules import RuleOptions
 from pairsieve.plans.cleaning import label_pairs
 from pairsieve.sources.schema import EVENT_LOG_SCHEMA
@@ -79,7 +79,7 @@ def start_clean(
     options = options or RuleOptions()
     if patterns is not None and not options.keyed:
         if options.dictionary_form == "join" or not fits_bounds(patterns):
-            options = replace(options, dictionary_form="join", keyed=keyed_dictionary(patterns))
+            options = replace(options, dictionary_form="join", keyed=windowed_dictionary(patterns))
 
     def kept(batch: DataFrame) -> DataFrame:
         return label_pairs(batch, patterns, options).filter(F.col("noise_type").isNull())
