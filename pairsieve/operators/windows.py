@@ -8,10 +8,15 @@ windows are let through: who uses them looks again.
 
 from __future__ import annotations
 
+import sys
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
+
+# Executors get this module with the plan: they need numpy and pyarrow, not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Lengths of windows; a pattern takes the longest that fits it.
 LENGTHS = (1, 2, 3, 4, 5, 6, 7, 8, 12, 16, 24, 32)
@@ -142,10 +147,15 @@ def _batch(**columns) -> pa.RecordBatch:
 
 
 def text_batches(lengths: list[int], held=None):
-    """For mapInArrow: from (_digest, _text) to (_digest, key); all pass if nothing is held."""
+    """For mapInArrow: from (_digest, _text) to (_digest, key); all pass if nothing is held.
+
+    ``held``: a broadcast of the parts of a ``Held`` for each length.
+    """
 
     def made(batches):
-        tables = held.value if held is not None else None
+        tables = None
+        if held is not None:
+            tables = {n: Held(*parts) for n, parts in held.value.items()}
         for batch in batches:
             digest = batch.column("_digest").to_numpy(zero_copy_only=False)
             for rows, keys in shown(batch.column("_text"), lengths, tables):

@@ -1,10 +1,14 @@
 """Windows of bytes and the join of large dictionaries that is keyed by them."""
 
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 
 from pairsieve.operators import dictionary, windows
 
@@ -100,3 +104,24 @@ def test_patterns_of_all_lengths_and_the_other_forms_dictionary(spark):
     for keyed in (None, dictionary.windowed_dictionary(pats), dictionary.keyed_dictionary(pats)):
         found = dictionary.hits(df, "id", "text", pats, "join", keyed)
         assert sorted(map(tuple, found.collect())) == expected
+
+
+def test_executors_need_not_have_this_package(tmp_path):
+    held = windows.Held.empty(1)
+    held.add(np.array([_hash(b"abc")], np.uint64))
+
+    class Shared:
+        value = {3: tuple(held)}
+
+    work = windows.text_batches([3], Shared())
+    (tmp_path / "work").write_bytes(cloudpickle.dumps(work))
+    code = """import pickle, pyarrow as pa
+work = pickle.loads(open("work", "rb").read())
+batch = pa.RecordBatch.from_pydict({"_digest": [7, 8], "_text": ["xabc", "xab"]})
+print([d for made in work(iter([batch])) for d in made.column("_digest").to_pylist()])
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run(
+        [sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True
+    )
+    assert done.stdout.strip() == "[7]", done.stderr
